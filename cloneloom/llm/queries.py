@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_permutation, bpe, mixing, topk_blocks, url_filter
+from . import ann_permutation, bpe, langid, mixing, ngram_jaccard, topk_blocks, toxicity, url_filter
 from .sql import ORACLE_SQL  # noqa: F401
 
 #: host, path, verdict
@@ -24,6 +24,14 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op2_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_permutation.search_nearest(_table(spark, sf_dir, "embeddings"))
 
@@ -32,6 +40,10 @@ def op4_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_blocks.search_products(_table(spark, sf_dir, "embeddings"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op6_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), word_bpe_path())
 
@@ -47,5 +59,5 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_permutation_index, op4_block_topk, op6_trie_bpe, op7_water_filling, op8_url_filter)
+    f.__name__: f for f in (op1_ngram_jaccard, op2_toxicity_nnpu, op3_permutation_index, op4_block_topk, op5_language_id, op6_trie_bpe, op7_water_filling, op8_url_filter)
 }
