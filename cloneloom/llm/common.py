@@ -73,6 +73,42 @@ def min_labels(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def link(groups: DataFrame, verify, rounds: int = 3) -> DataFrame | None:
+    """(node, label) of the linked nodes of groups (sig, node, share); None if no two are linked.
+
+    In each round every group's nodes are verified against its hub, the node of the largest share; then the hub, all of
+    whose pairs in the group are settled, leaves, and groups within one component are done. What remains after the
+    rounds is verified pair by pair across components, so every pair of a group is either verified or connected.
+    verify takes distinct pairs (a, b) and returns the linked ones.
+    """
+    edges, labels = None, None
+    for step in range(rounds + 1):
+        if step < rounds:
+            hubs = groups.groupBy("sig").agg(F.max(F.struct("share", "node")).alias("hub"), F.count("*").alias("k")).where("k > 1").select("sig", F.col("hub.node").alias("b"))
+            met = groups.join(hubs, "sig")
+            pairs = met.where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+        else:
+            met = None
+            x, y = (groups.select("sig", F.col("node").alias(n), F.col("label").alias(f"l{n}")) for n in "ab")
+            pairs = x.join(y, "sig").where("la < lb").select("a", "b").distinct()
+        found = cut(verify(pairs))
+        if found.limit(1).count():
+            edges = found if edges is None else cut(edges.unionByName(found))
+            labels = min_labels(edges)
+        if met is None or labels is None and step == rounds:
+            return labels
+        rest = met.where("node <> b").select("sig", "node", "share")
+        if labels is None:
+            rest = rest.withColumn("label", F.col("node"))
+        else:
+            rest = rest.join(labels, "node", "left").select("sig", "node", "share", F.coalesce("label", "node").alias("label"))
+        mixed = rest.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
+        groups = cut(rest.join(mixed, "sig"))
+        if not groups.limit(1).count():
+            return labels
+    return labels
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package's modules to the executors, for the functions that run in Python there; once a session."""
     sc = spark.sparkContext

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import texts as tx
-from .common import cut, min_labels, ship, small
+from .common import cut, link, ship, small
 
 WORDS = 5
 #: Cells of a band, as a share of its upper size; bands of sizes under SMALL are one, each hash a cell of its own.
@@ -41,7 +41,6 @@ NUM, DEN = 100, 80
 HASH_BITS = 51
 SHARD_CELLS = 2_000_000
 FLUSH = 1_500_000
-ROUNDS = 3
 SALT_ROWS = 200
 U64 = np.uint64
 
@@ -256,36 +255,6 @@ def packed_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "node long, shingles binary")
 
 
-def link(groups: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """(node, label) of the linked nodes of groups (sig, node, share); None if no two are linked."""
-    edges, labels = None, None
-    for step in range(ROUNDS + 1):
-        if step < ROUNDS:
-            hubs = groups.groupBy("sig").agg(F.max(F.struct("share", "node")).alias("hub"), F.count("*").alias("k")).where("k > 1").select("sig", F.col("hub.node").alias("b"))
-            met = groups.join(hubs, "sig")
-            pairs = met.where("node <> b").select(F.col("node").alias("a"), "b").distinct()
-        else:
-            met = None
-            x, y = (groups.select("sig", F.col("node").alias(n), F.col("label").alias(f"l{n}")) for n in "ab")
-            pairs = x.join(y, "sig").where("la < lb").select("a", "b").distinct()
-        found = cut(verified(pairs, sets))
-        if found.limit(1).count():
-            edges = found if edges is None else cut(edges.unionByName(found))
-            labels = min_labels(edges)
-        if met is None or labels is None and step == ROUNDS:
-            return labels
-        rest = met.where("node <> b").select("sig", "node", "share")
-        if labels is None:
-            rest = rest.withColumn("label", F.col("node"))
-        else:
-            rest = rest.join(labels, "node", "left").select("sig", "node", "share", F.coalesce("label", "node").alias("label"))
-        mixed = rest.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
-        groups = cut(rest.join(mixed, "sig"))
-        if not groups.limit(1).count():
-            return labels
-    return labels
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of docs (doc_id, text): component_id is the smallest id reachable by links."""
     spark = docs.sparkSession
@@ -306,7 +275,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     lists = shared.join(alive, "entry").groupBy("entry").agg(*[F.first(c).alias(c) for c in ("node", "n", "own", "shared")], F.collect_list("sigs").alias("sigs"), F.collect_list("counts").alias("counts"))
     groups = cut(rare_cells(lists))
     known = cut(packed_sets(docs, alive.select("node").distinct().join(nodes, "node").select("doc_id", "node"))).dropDuplicates(["node"])
-    labels = link(groups, known)
+    labels = link(groups, lambda pairs: verified(pairs, known))
     if labels is None:
         where = nodes.select("node", F.col("doc_id").alias("component"))
     else:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_permutation, bpe, langid, mixing, ngram_jaccard, topk_blocks, toxicity, url_filter
+from . import ann_permutation, bpe, langid, line_dedup, mixing, ngram_jaccard, pii, topk_blocks, toxicity, url_filter
 from .sql import ORACLE_SQL  # noqa: F401
 
 #: host, path, verdict
@@ -58,6 +58,17 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"), rules)
 
 
+def op9_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(_table(spark, sf_dir, "documents"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document with a text: its lines, how many stay, and the numbers of those that go."""
+    gone = line_dedup.dropped_lines(_table(spark, sf_dir, "documents"))
+    kept = F.col("n_lines") - F.size("dropped")
+    return gone.select("doc_id", "n_lines", kept.alias("n_kept"), F.array_join(F.transform("dropped", lambda x: x.cast("string")), ",").alias("dropped"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard, op2_toxicity_nnpu, op3_permutation_index, op4_block_topk, op5_language_id, op6_trie_bpe, op7_water_filling, op8_url_filter)
+    f.__name__: f for f in (op1_ngram_jaccard, op2_toxicity_nnpu, op3_permutation_index, op4_block_topk, op5_language_id, op6_trie_bpe, op7_water_filling, op8_url_filter, op9_contextual_pii, op10_line_dedup)
 }
