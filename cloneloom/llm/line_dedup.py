@@ -50,6 +50,11 @@ def line_keys(line: Column, length: Column, tau: int) -> Column:
     return F.array(*out)
 
 
+def _let(value: Column, body) -> Column:
+    """body of value, which is worked out once: the optimizer would put a plain column's expression into every use."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _common(a: Column, b: Column, most: Column) -> Column:
     """Length of the common beginning, at most `most`, by doubling steps."""
     steps = F.array(*[F.lit(1 << i) for i in range(24, -1, -1)])
@@ -94,13 +99,20 @@ def edit_linked(pairs: DataFrame, texts: DataFrame, tau: int = TAU) -> DataFrame
     """The pairs (a, b) whose lines are within tau edits. texts: node, line."""
     x, y = (texts.select(F.col("node").alias(n), F.col("line").alias(f"t{n}")) for n in "ab")
     both = pairs.join(x, "a").join(y, "b")
-    both = both.withColumns({"la": F.length("ta"), "lb": F.length("tb")}).where(F.abs(F.col("la") - F.col("lb")) <= tau)
-    both = both.withColumn("p", _common(F.col("ta"), F.col("tb"), F.least("la", "lb")))
-    both = both.select("a", "b", F.substr("ta", F.col("p") + 1, F.col("la")).alias("ta"), F.substr("tb", F.col("p") + 1, F.col("lb")).alias("tb"))
-    both = both.withColumn("q", _common(F.reverse("ta"), F.reverse("tb"), F.least(F.length("ta"), F.length("tb"))))
-    rest = lambda t: F.when(F.length(t) > F.col("q"), F.split(F.substr(t, F.lit(1), F.length(t) - F.col("q")), "")).otherwise(F.array().cast("array<string>"))
-    both = both.select("a", "b", rest(F.col("ta")).alias("ca"), rest(F.col("tb")).alias("cb"))
-    return both.where(within(F.col("ca"), F.col("cb"), tau)).select("a", "b")
+    close = F.abs(F.length("ta") - F.length("tb")) <= tau
+
+    def tails(v):
+        p = _common(v["a"], v["b"], F.least(F.length(v["a"]), F.length(v["b"])))
+        cut_ = lambda t, n: F.reverse(F.substr(t, n + 1, F.length(t)))
+        return _let(F.struct(v["a"].alias("a"), v["b"].alias("b"), p.alias("p")), lambda w: F.struct(cut_(w["a"], w["p"]).alias("a"), cut_(w["b"], w["p"]).alias("b")))
+
+    def middles(v):
+        q = _common(v["a"], v["b"], F.least(F.length(v["a"]), F.length(v["b"])))
+        rest = lambda t, n: F.when(F.length(t) > n, F.split(F.substr(t, n + 1, F.length(t)), "")).otherwise(F.array().cast("array<string>"))
+        return _let(F.struct(v["a"].alias("a"), v["b"].alias("b"), q.alias("q")), lambda w: F.struct(rest(w["a"], w["q"]).alias("a"), rest(w["b"], w["q"]).alias("b")))
+
+    same = _let(F.struct(F.col("ta").alias("a"), F.col("tb").alias("b")), lambda v: _let(tails(v), lambda w: _let(middles(w), lambda c: within(c["a"], c["b"], tau))))
+    return both.where(F.when(close, same).otherwise(F.lit(False))).select("a", "b")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
