@@ -48,7 +48,7 @@ def merge_pairs(df: DataFrame, min_overlap: int = 17, min_identity: float = 0.9,
             cols = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.string(), pa.string(), pa.int32()))]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, "merged", "merged_qual", "overlap"])
 
-    schema = df.withColumns({"merged": F.lit("").cast("string"), "merged_qual": F.lit("").cast("string"), "overlap": F.lit(None).cast("int")}).schema
+    schema = df.withColumns({"merged": F.lit(None).cast("string"), "merged_qual": F.lit(None).cast("string"), "overlap": F.lit(None).cast("int")}).schema
     return df.mapInArrow(run, schema)
 
 

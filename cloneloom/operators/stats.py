@@ -92,7 +92,7 @@ def _betainc(a: float, b: float, x: float) -> float:
         h *= c * d
         if abs(1 - c * d) < 1e-13:
             break
-    return front * h
+    return front * (h - 1)
 
 
 def _t_tail(t: float, df: float) -> float:
