@@ -3,8 +3,8 @@
 Seeds are the matches of four strict forms (email, ip, card, phone) that pass their checks. Every identifier-like token (one
 with a digit or an "@") is an instance, and the word before it its lexical pattern. Patterns and instances make a bipartite
 graph that is scored in rounds: a pattern's confidence for a kind is the scores of its instances of that kind over all its
-instances plus one; an instance that no seed covers, stands in a pattern of high confidence that several different seeds
-support, and has a shape in which that kind is written loosely, becomes an instance with the pattern's confidence, and
+instances plus one; an instance that no seed covers, stands in a pattern of high confidence that seeds of several
+documents support, and has a shape in which that kind is written loosely, becomes an instance with the pattern's confidence, and
 counts in the next round. So seeds teach contexts, and contexts find identifiers that the strict forms miss.
 
 Positions come from cutting a text at the matches: a match starts after all pieces and matches before it. The forms are
@@ -14,8 +14,7 @@ without deep recursion or restarts inside long runs.
 Texts are read once, into a narrow table of spans and instances. Patterns are aggregated with partial sums, so a word
 before a third of all identifiers is no hot task.
 
-Defined results: null and empty texts have no spans; repeated rows are judged each on their own, but the same token counts
-once as support of a pattern; positions are code points, the end exclusive.
+Defined results: null and empty texts have no spans; repeated rows are judged each on their own; positions are code points, the end exclusive.
 """
 
 from __future__ import annotations
@@ -137,7 +136,7 @@ def bootstrap(table: DataFrame) -> DataFrame:
         if found is not None:
             state = graph.join(found.withColumnRenamed("kind", "new"), ["rid", "start", "end"], "left")
             state = state.select("rid", "start", "end", "hit", "before", F.coalesce("kind", "new").alias("kind"), "shape", F.when(F.col("kind").isNotNull(), 1.0).otherwise(F.coalesce("score", F.lit(0.0))).alias("score"))
-        distinct = state.groupBy("before", "hit", "kind").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
+        distinct = state.groupBy("before", "rid", "kind").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
         sums = distinct.groupBy("before").agg(F.sum("n").alias("n"), *[c for k in KINDS for c in (F.sum(F.when(F.col("kind") == k, F.col("score"))).alias(f"s_{k}"), F.count(F.when(F.col("kind") == k, 1)).alias(f"d_{k}"))])
         best = F.array(*[F.struct((F.col(f"s_{k}") / (F.col("n") + 1)).alias("confidence"), F.col(f"d_{k}").alias("support"), F.lit(k).alias("kind")) for k in KINDS])
         patterns = sums.select("before", F.explode(best).alias("p")).select("before", "p.*").where((F.col("confidence") >= CONFIDENCE) & (F.col("support") >= SUPPORT))
