@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions import fields
 from ..functions import sequence as S
-from ..operators import abundance, align, cluster, diversity, filters, overlap, preproc, qc, stats, tags, usage
+from ..operators import abundance, align, assign, cluster, diversity, filters, overlap, preproc, qc, stats, tags, usage
 from ..streaming import events as ev
+from . import postanalysis
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -589,6 +590,44 @@ def coverage(spark, sf):
     return qc.coverage(p)
 
 
+# postanalysis, assignment and reports
+
+@query("""WITH o AS (SELECT l_orderkey, l_linestatus, l_returnflag, l_partkey, l_quantity FROM lineitem),
+c AS (SELECT l_linestatus AS chain, l_returnflag AS sample, l_partkey AS key, sum(l_quantity) AS w FROM o GROUP BY 1, 2, 3), x AS (SELECT c.*, p_type, p_size FROM c JOIN part ON key = p_partkey),
+p AS (SELECT *, w / sum(w) OVER (PARTITION BY chain, sample) AS p FROM x)
+SELECT chain, 'g' || sample AS "group", sample, 'observed' AS metric, '' AS key, CAST(count(*) AS DOUBLE) AS value FROM p GROUP BY 1, 3
+UNION ALL SELECT chain, 'g' || sample, sample, 'inverse_simpson', '', round(1 / sum(p * p), 6) FROM p GROUP BY 1, 3
+UNION ALL SELECT chain, 'g' || sample, sample, 'mean_length', '', round(sum(w * p_size) / sum(w), 6) FROM p GROUP BY 1, 3
+UNION ALL SELECT chain, 'g' || sample, sample, 'j_usage', p_type, round(sum(p), 6) FROM p GROUP BY 1, 3, 5""")
+def postanalysis_individual(spark, sf):
+    l = table(spark, sf, "lineitem").select(F.col("l_linestatus").alias("status"), F.col("l_returnflag").alias("sample"), F.col("l_partkey").alias("key"), "l_quantity")
+    c = l.groupBy("status", "sample", "key").agg(F.sum("l_quantity").alias("weight"))
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("key"), F.col("p_type").alias("j_gene"), F.col("p_size").alias("len"))
+    meta = spark.createDataFrame([(s, f"g{s}") for s in "ANR"], "sample string, cohort string")
+    return rounded(postanalysis.individual(c.join(part, "key"), ["observed", "inverse_simpson", "mean_length", "j_usage"], ["key"], meta, ["cohort"], "status"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN p_size > 25 THEN p_partkey ELSE -1 END AS clone_id FROM lineitem JOIN part ON l_partkey = p_partkey")
+def clone_assignment(spark, sf):
+    c = table(spark, sf, "part").where("p_size > 25").select(F.col("p_partkey").alias("l_partkey"), F.col("p_partkey").alias("clone_id"))
+    return assign.assign(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), c, ["l_partkey"]).select("l_orderkey", "l_linenumber", "clone_id")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey AS clone_id FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size > 25 AND p_brand = 'Brand#1'")
+def reads_for_clones(spark, sf):
+    c = table(spark, sf, "part").where("p_size > 25").select(F.col("p_partkey").alias("l_partkey"), F.col("p_partkey").alias("clone_id"))
+    a = assign.assign(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), c, ["l_partkey"])
+    ids = table(spark, sf, "part").where("p_brand = 'Brand#1'").select(F.col("p_partkey").alias("clone_id"))
+    return assign.records_for_clones(a, ids).select("l_orderkey", "l_linenumber", "clone_id")
+
+
+@query("SELECT l_returnflag AS sample, CAST(count(*) FILTER (l_linestatus = 'F') AS DOUBLE) AS \"align.F\", CAST(count(*) FILTER (l_linestatus = 'O') AS DOUBLE) AS \"align.O\" FROM lineitem GROUP BY 1")
+def reports_table(spark, sf):
+    n = lambda s: F.count(F.when(F.col("l_linestatus") == s, 1)).cast("double")
+    r = table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("sample")).agg(F.create_map(F.lit("F"), n("F"), F.lit("O"), n("O")).alias("counters")).withColumn("step", F.lit("align"))
+    return assign.reports_table(r, ["align.F", "align.O"])
+
+
 # extension: events as windows
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
