@@ -69,6 +69,34 @@ def local_score(read: str, ref: str, diagonal: int, band: int = 8, match: int =
     return best
 
 
+def local_scores(reads: list[str], refs: list[str], diagonals: list[int], band: int = 8, match: int = 5, mismatch: int = -4, gap: int = -9) -> np.ndarray:
+    """The scores of local_score for many pairs at once: each cell of the band is one step over all pairs."""
+
+    def padded(texts):
+        out = np.zeros((len(texts), max(map(len, texts), default=0) + 1), np.uint8)
+        for i, t in enumerate(texts):
+            out[i, : len(t)] = np.frombuffer(t.encode("ascii", "replace"), np.uint8)
+        return out
+
+    q, t = padded(reads), padded(refs)
+    n_q, n_t = (np.array([len(x) for x in xs]) for xs in (reads, refs))
+    at, width, diag = np.arange(len(reads)), 2 * band + 1, np.array(diagonals, np.int64)
+    best = np.zeros(len(reads), np.int64)
+    row = np.zeros((width + 2, len(reads)), np.int64)
+    for i in range(q.shape[1] - 1):
+        new = np.zeros_like(row)
+        live = i < n_q
+        for k in range(width):
+            j = i + diag + k - band
+            ok = live & (j >= 0) & (j < n_t)
+            same = q[:, i] == t[at, np.clip(j, 0, t.shape[1] - 1)]
+            s = np.maximum(np.maximum(0, row[k + 1] + np.where(same, match, mismatch)), np.maximum(row[k + 2], new[k]) + gap)
+            new[k + 1] = np.where(ok, s, 0)
+        best = np.maximum(best, new.max(0))
+        row = new
+    return best
+
+
 def align_reads(reads: DataFrame, library: DataFrame, read_id: str = "read_id", seq: str = "seq", k: int = 9, candidates: int = 3, min_score: int = 40, relative: float = 0.9, max_hits: int = 3) -> DataFrame:
     """(read_id, gene_type, hits): for each gene type the best genes of a read, hits being (gene, score) by falling score.
 
@@ -90,8 +118,8 @@ def align_reads(reads: DataFrame, library: DataFrame, read_id: str = "read_id",
     def run(batches):
         for b in batches:
             c = {x: b.column(b.schema.get_field_index(x)) for x in (read_id, "gene_type", "gene", "_seq", "ref", "diagonal")}
-            s = [local_score(q, r, d)[0] for q, r, d in zip(c["_seq"].to_pylist(), c["ref"].to_pylist(), c["diagonal"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([c[read_id], c["gene_type"], c["gene"], pa.array(s, pa.float64())], names=[read_id, "gene_type", "gene", "score"])
+            s = np.concatenate([local_scores(*(c[x].slice(at, 2048).to_pylist() for x in ("_seq", "ref", "diagonal"))) for at in range(0, b.num_rows, 2048)] or [np.empty(0)])
+            yield pa.RecordBatch.from_arrays([c[read_id], c["gene_type"], c["gene"], pa.array(s.astype(float), pa.float64())], names=[read_id, "gene_type", "gene", "score"])
 
     kind = reads.schema[read_id].dataType.simpleString()
     scored = rows.select(read_id, "gene_type", "gene", "_seq", "ref", "diagonal").mapInArrow(run, f"{read_id} {kind}, gene_type string, gene string, score double").where(F.col("score") >= min_score)

@@ -230,3 +230,16 @@ def test_stream_of_events(spark, tmp_path):
     q.stop()
     assert sorted((r.event_type, r.n, r.total) for r in spark.table("usage").collect()) == [("a", 2, 3.0), ("b", 1, 4.0)]
     assert events.sessions(e).count() == 3
+
+
+def test_scores_at_once_equal_single_scores():
+    rng = random.Random(3)
+    seq = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    reads_, refs, diagonals = [], [], []
+    for _ in range(60):
+        ref = seq(rng.randrange(1, 60))
+        a = rng.randrange(len(ref))
+        reads_.append(ref[a : a + 20] + seq(rng.randrange(1, 6)))
+        refs.append(ref)
+        diagonals.append(a + rng.randrange(-2, 3))
+    assert align.local_scores(reads_, refs, diagonals).tolist() == [align.local_score(q, r, d)[0] for q, r, d in zip(reads_, refs, diagonals, strict=True)]
