@@ -7,8 +7,9 @@ A line is cut into TAU + 1 segments; if two lines are within TAU edits, one segm
 near the same place. A line is indexed by its own segments, keyed by (length, number, segment), and probes the keys of each
 length down to TAU less at the few starts that the multi-match-aware rule leaves. One aggregation by key finds keys that
 two different lines share; keys with more than two lines are joined back to their lines. Groups of a key are settled by
-hubs (common.link), so a family of like lines costs a comparison a line. Candidates are verified with a banded
-bit-parallel automaton: common beginnings and ends are left out, and then one small integer for each number of
+hubs (common.link), so a family of like lines costs a comparison a line. Each line has a sketch, its length and how often
+it has each of some letters; an edit changes the counts by two at most, and pairs whose sketches are farther apart are
+left out inside the joins. Candidates are verified with a banded bit-parallel automaton: common beginnings and ends are left out, and then one small integer for each number of
 edits holds which diagonals can be reached.
 
 Only hashes of lines are shuffled, but for the texts of candidates. Lines are identified by 64-bit hashes.
@@ -26,6 +27,8 @@ from .common import cut, link, small
 
 TAU = 2
 FUZZY = 40
+#: Letters that sketches count.
+LETTERS = "etaoinshrdlucm"
 
 
 def segment(length: Column, i: int, tau: int) -> tuple[Column, Column]:
@@ -95,6 +98,18 @@ def within(a: Column, b: Column, tau: int) -> Column:
     return F.when(F.abs(F.size(a) - F.size(b)) > tau, F.lit(False)).when(F.size(b) == 0, none).otherwise(reached)
 
 
+def sketch(line: Column) -> Column:
+    """array<int>: the length, and how often each of LETTERS occurs."""
+    n = F.length(line)
+    return F.array(n, *[n - F.length(F.replace(line, F.lit(c), F.lit(""))) for c in LETTERS])
+
+
+def sketches_near(a: Column, b: Column, tau: int) -> Column:
+    """Whether lines with these sketches can be within tau edits."""
+    apart = sum((F.abs(F.get(a, F.lit(i)) - F.get(b, F.lit(i))) for i in range(1, len(LETTERS) + 1)), F.lit(0))
+    return (F.abs(F.get(a, F.lit(0)) - F.get(b, F.lit(0))) <= tau) & (apart <= 2 * tau)
+
+
 def edit_linked(pairs: DataFrame, texts: DataFrame, tau: int = TAU) -> DataFrame:
     """The pairs (a, b) whose lines are within tau edits. texts: node, line."""
     x, y = (texts.select(F.col("node").alias(n), F.col("line").alias(f"t{n}")) for n in "ab")
@@ -123,19 +138,21 @@ def _lines(docs: DataFrame) -> DataFrame:
 def line_classes(docs: DataFrame, tau: int = TAU, fuzzy: int = FUZZY) -> tuple[DataFrame, DataFrame | None]:
     """Occurrences (doc_id, th, pos, node, blank), and (node, label) of lines linked with different ones, if any."""
     lines = _lines(docs)
-    found = cut(lines.select("doc_id", "th", "pos", F.xxhash64("line").alias("node"), (F.trim(F.translate("line", "\t\r\x0b\x0c", "    ")) == "").alias("blank")))
+    found = cut(lines.select("doc_id", "th", "pos", F.xxhash64("line").alias("node"), (~F.col("line").rlike(r"[^\x20\t\r\x0b\x0c]")).alias("blank")))
     long = lines.select("line", F.length("line").alias("len")).where(F.col("len") >= fuzzy)
     rows = long.select(F.xxhash64("line").alias("node"), F.explode(line_keys(F.col("line"), F.col("len"), tau)).alias("k")).select("node", "k.key", "k.own")
+    rows = cut(rows, "none")  # read twice; hashes don't compress
     keys = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n"), F.max(F.col("own").cast("int")).alias("own"))
     shared = cut(keys.where("lo <> hi and own = 1").select("key", "lo", "hi", "n"))
     two = shared.where("n = 2").select(F.col("key").alias("sig"), F.explode(F.array("lo", "hi")).alias("node"))
     many = shared.where("n > 2").select("key")
     more = rows.join(small(many), "key").select(F.col("key").alias("sig"), "node").distinct()
-    groups = cut(two.unionByName(more).withColumn("share", F.lit(0.0)))
+    groups = cut(two.unionByName(more))
     wanted = small(groups.select("node").distinct().withColumnRenamed("node", "want"))
     texts = long.withColumn("node", F.xxhash64("line")).join(wanted, F.col("node") == F.col("want")).select("node", "line")
-    texts = cut(texts.dropDuplicates(["node"]))
-    return found, link(groups, lambda pairs: edit_linked(pairs, texts, tau))
+    texts = cut(texts.dropDuplicates(["node"]).withColumn("sketch", sketch(F.col("line"))))
+    groups = groups.join(texts.select("node", "sketch"), "node")
+    return found, link(groups, lambda pairs: edit_linked(pairs, texts, tau), lambda a, b: sketches_near(a, b, tau))
 
 
 def dropped_lines(docs: DataFrame, tau: int = TAU, fuzzy: int = FUZZY) -> DataFrame:
