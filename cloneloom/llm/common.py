@@ -74,9 +74,10 @@ def min_labels(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def link(groups: DataFrame, verify, near, rounds: int = 1) -> DataFrame | None:
-    """(node, label) of the linked nodes of groups (sig, node, sketch); None if no two are linked.
+    """(node, label) of the linked nodes of groups (sig, node, own, sketch); None if no two are linked. Of a group's pairs
+    only those count that hold a node of which the group's key is its own: others meet under another key.
 
-    In each round every group's nodes are verified against its hub, the largest node; then the hub, all of whose pairs in
+    In each round every group's nodes are verified against its hub, the largest own node; then the hub, all of whose pairs in
     the group are settled, leaves, and groups within one component are done. What remains after the rounds is verified
     pair by pair across components, so every pair of a group is either verified or connected. near(a, b) is a condition
     on two sketches that every linked pair meets; it is part of the joins, so other pairs are never written out.
@@ -85,24 +86,24 @@ def link(groups: DataFrame, verify, near, rounds: int = 1) -> DataFrame | None:
     edges, labels = None, None
     for step in range(rounds + 1):
         if step < rounds:
-            hubs = groups.groupBy("sig").agg(F.max(F.struct("node", "sketch")).alias("hub"), F.count("*").alias("k")).where("k > 1").select("sig", F.col("hub.node").alias("b"), F.col("hub.sketch").alias("sb"))
+            hubs = groups.groupBy("sig").agg(F.max(F.struct("own", "node", "sketch")).alias("hub"), F.count("*").alias("k")).where("k > 1").select("sig", F.col("hub.node").alias("b"), F.col("hub.sketch").alias("sb"))
             met = groups.join(hubs, "sig")
             pairs = met.where(F.col("node") != F.col("b")).where(near(F.col("sketch"), F.col("sb"))).select(F.col("node").alias("a"), "b").distinct()
         else:
             met = None
-            x, y = (groups.select("sig", F.col("node").alias(n), F.col("label").alias(f"l{n}"), F.col("sketch").alias(f"s{n}")) for n in "ab")
-            pairs = x.join(y, (x["sig"] == y["sig"]) & (F.col("la") < F.col("lb")) & near(F.col("sa"), F.col("sb"))).select("a", "b").distinct()
+            x, y = (groups.select("sig", F.col("node").alias(n), F.col("label").alias(f"l{n}"), F.col("own").alias(f"o{n}"), F.col("sketch").alias(f"s{n}")) for n in "ab")
+            pairs = x.join(y, (x["sig"] == y["sig"]) & (F.col("la") < F.col("lb")) & (F.col("oa") | F.col("ob")) & near(F.col("sa"), F.col("sb"))).select("a", "b").distinct()
         found = cut(verify(pairs))
         if found.limit(1).count():
             edges = found if edges is None else cut(edges.unionByName(found))
             labels = min_labels(edges)
         if met is None:
             return labels
-        rest = met.where(F.col("node") != F.col("b")).select("sig", "node", "sketch")
+        rest = met.where(F.col("node") != F.col("b")).select("sig", "node", "own", "sketch")
         if labels is None:
             rest = rest.withColumn("label", F.col("node"))
         else:
-            rest = rest.join(labels, "node", "left").select("sig", "node", "sketch", F.coalesce("label", "node").alias("label"))
+            rest = rest.join(labels, "node", "left").select("sig", "node", "own", "sketch", F.coalesce("label", "node").alias("label"))
         mixed = rest.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
         groups = cut(rest.join(mixed, "sig"))
         if not groups.limit(1).count():

@@ -144,9 +144,9 @@ def line_classes(docs: DataFrame, tau: int = TAU, fuzzy: int = FUZZY) -> tuple[D
     rows = cut(rows, "none")  # read twice; hashes don't compress
     keys = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n"), F.max(F.col("own").cast("int")).alias("own"))
     shared = cut(keys.where("lo <> hi and own = 1").select("key", "lo", "hi", "n"))
-    two = shared.where("n = 2").select(F.col("key").alias("sig"), F.explode(F.array("lo", "hi")).alias("node"))
+    two = shared.where("n = 2").select(F.col("key").alias("sig"), F.explode(F.array("lo", "hi")).alias("node"), F.lit(True).alias("own"))
     many = shared.where("n > 2").select("key")
-    more = rows.join(small(many), "key").select(F.col("key").alias("sig"), "node").distinct()
+    more = rows.join(small(many), "key").groupBy(F.col("key").alias("sig"), "node").agg(F.max("own").alias("own"))
     groups = cut(two.unionByName(more))
     wanted = small(groups.select("node").distinct().withColumnRenamed("node", "want"))
     texts = long.withColumn("node", F.xxhash64("line")).join(wanted, F.col("node") == F.col("want")).select("node", "line")
