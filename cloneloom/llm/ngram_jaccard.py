@@ -11,10 +11,11 @@ second sketch where a partner may be there.
 Join. Cells travel packed, 16 bytes each, to shards by value. A cell that no other set has is a single; a set with more
 singles than a quarter of its size is linked with nothing and drops out. That leaves what is mostly copied. Those sets
 keep, of their other cells, the rarest that together with the singles make a quarter of their size plus one: a linked
-pair still shares one of them. In each group of sets that share a cell, all are verified against one hub, the
-set most of whose cells are shared; components are formed; the hub leaves; and groups whose sets are in one component by
-then are done. What is left after ROUNDS is verified pair by pair across components. So no link between components
-is missed, and groups of copies cost a comparison a copy.
+pair still shares one of them. In each group of sets that share a cell, all are verified against one hub, the set most of
+whose cells are shared, and components are formed; groups of plain copies are done after that. Groups that still hold
+several components are joined to families, and each family is compared block by block, inside tasks that count common
+shingles of two blocks by matrix products and emit only what connects components. So no link between components is
+missed, and no pairs of a group are written out.
 
 Exact copies are one node from the start: a node is the hash of a set. Verification compares 51-bit hashes of
 shingles within pairs. Nothing is capped, and nothing but ids of checked number is broadcast.
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import texts as tx
-from .common import cut, link, ship, small
+from .common import cut, min_labels, ship, small
 
 WORDS = 5
 #: Cells of a band, as a share of its upper size; bands of sizes under SMALL are one, each hash a cell of its own.
@@ -42,6 +43,8 @@ HASH_BITS = 51
 SHARD_CELLS = 2_000_000
 FLUSH = 1_500_000
 SALT_ROWS = 200
+#: Sets in a block of a family, shingles in a block, and shingles counted at a time.
+BLOCK, BLOCK_SHINGLES, TOKENS = 256, 250_000, 4096
 U64 = np.uint64
 
 
@@ -99,7 +102,7 @@ def sketch(h: np.ndarray, borders: np.ndarray, rows: np.ndarray, bands: np.ndarr
     if not len(first):
         return np.empty(0, U64), np.empty(0, np.int64)
     parity = np.bitwise_xor.reduceat(tx.mix(x), first)
-    return tx.mix(parity ^ tx.mix(cell[first].astype(U64) + (b[first].astype(U64) << U64(56)))), rows[at[first]]
+    return tx.mix(parity ^ tx.mix(cell[first].astype(U64) + ((b[first] + 1).astype(U64) << U64(56)))), rows[at[first]]
 
 
 def _both(h, borders, celled):
@@ -188,7 +191,8 @@ def shared_cells(packed: DataFrame) -> DataFrame:
         order = np.argsort(i, kind="stable")
         s, i, counts = s[order], i[order], counts[order].astype(np.int32)
         first = np.flatnonzero(np.diff(i, prepend=~i[:1])) if len(i) else np.empty(0, np.int64)
-        cuts = list(zip(first, [*first[1:], len(i)], strict=True))
+        ends = np.append(first, len(i))
+        cuts = list(zip(ends[:-1], ends[1:], strict=True))
         return pa.table({"entry": pa.array(i[first], pa.int64()), "cells": pa.array([int(b - a) for a, b in cuts], pa.int64()), "sigs": pa.array([s[a:b].tobytes() for a, b in cuts], pa.binary()), "counts": pa.array([counts[a:b].tobytes() for a, b in cuts], pa.binary())})
 
     return packed.groupBy("shard").applyInArrow(run, "entry long, cells long, sigs binary, counts binary")
@@ -255,6 +259,96 @@ def packed_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "node long, shingles binary")
 
 
+def block_links(sets: list[np.ndarray], side: np.ndarray, labels: np.ndarray) -> list[tuple[int, int]]:
+    """Linked pairs that connect the labels of sets of two blocks (side 0 and 1), or of one (all 0)."""
+    sizes = np.array([len(x) for x in sets])
+    rows = np.repeat(np.arange(len(sets)), sizes)
+    _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = np.flatnonzero(count > 1)
+    number = np.full(len(count), -1)
+    number[common] = np.arange(len(common))
+    token = number[token]
+    rows, token = rows[token >= 0], token[token >= 0]
+    order = np.argsort(token, kind="stable")
+    rows, token = rows[order], token[order]
+    left = np.flatnonzero(side == 0)
+    right = np.flatnonzero(side == 1) if side.any() else left
+    both = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, len(common), TOKENS):
+        a, b = np.searchsorted(token, [at, at + TOKENS])
+        m = np.zeros((len(sets), TOKENS), np.float32)
+        m[rows[a:b], token[a:b] - at] = 1
+        both += m[left] @ m[right].T
+    both = both.astype(np.int64)
+    linked = NUM * both >= DEN * (sizes[left][:, None] + sizes[right][None] - both)
+    linked &= labels[left][:, None] != labels[right][None]
+    root = {x: x for x in labels.tolist()}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in np.argwhere(linked):
+        x, y = find(int(labels[left[i]])), find(int(labels[right[j]]))
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((int(left[i]), int(right[j])))
+    return out
+
+
+def family_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links that connect the labels of each family. members: family, node, label."""
+    sized = members.join(sets.select("node", (F.octet_length("shingles") / 8).alias("n")), "node")
+    size = F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)
+    blocks = sized.groupBy("family").agg(F.ceil(size).cast("int").alias("blocks"), F.countDistinct("label").alias("labels")).where("labels > 1")
+    dealt = members.join(blocks, "family").select("family", "node", "label", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = dealt.join(sets, "node").select("family", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).alias("second"), "node", "label", "shingles")
+    rows = rows.repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi", "second", "node")
+
+    def links(held):
+        nodes, labels, side = (np.array([h[i] for h in held]) for i in (0, 1, 2))
+        got = block_links([h[3] for h in held], side.astype(int), labels)
+        return pa.RecordBatch.from_arrays([pa.array([int(nodes[i]) for i, _ in got], pa.int64()), pa.array([int(nodes[j]) for _, j in got], pa.int64())], names=["a", "b"])
+
+    def run(batches):
+        key, held = None, []
+        for b in batches:
+            cols = [b.column(b.schema.get_field_index(c)) for c in ("family", "lo", "hi", "node", "label", "second")]
+            for family, lo, hi, node, label, second, x in zip(*(c.to_pylist() for c in cols), b.column(b.schema.get_field_index("shingles")), strict=True):
+                if (family, lo, hi) != key:
+                    if held:
+                        yield links(held)
+                    key, held = (family, lo, hi), []
+                held.append((node, label, second, np.frombuffer(x.as_buffer(), U64).copy()))
+        if held:
+            yield links(held)
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def connect(groups: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """(node, label) of the linked nodes of groups (sig, node, share); None if no two are linked."""
+    hubs = groups.groupBy("sig").agg(F.max(F.struct("share", "node")).alias("hub"), F.min("node").alias("first"), F.count("*").alias("k")).where("k > 1").select("sig", "first", F.col("hub.node").alias("b"))
+    met = groups.join(hubs, "sig")
+    pairs = met.where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    edges = cut(verified(pairs, sets))
+    labels = min_labels(edges)
+    labelled = met.join(labels, "node", "left").select("sig", "node", "first", F.coalesce("label", "node").alias("label"))
+    mixed = labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
+    rest = cut(labelled.join(mixed, "sig").select("node", "first", "label").distinct())
+    if rest.limit(1).count():
+        families = min_labels(rest.select(F.col("node").alias("a"), F.col("first").alias("b"))).withColumnRenamed("label", "family")
+        members = rest.select("node", "label").distinct().join(families, "node", "left").select(F.coalesce("family", "node").alias("family"), "node", "label")
+        more = cut(family_links(members, sets))
+        if more.limit(1).count():
+            edges = edges.unionByName(more)
+            labels = min_labels(edges)
+    return labels if edges.limit(1).count() else None
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of docs (doc_id, text): component_id is the smallest id reachable by links."""
     spark = docs.sparkSession
@@ -275,7 +369,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     lists = shared.join(alive, "entry").groupBy("entry").agg(*[F.first(c).alias(c) for c in ("node", "n", "own", "shared")], F.collect_list("sigs").alias("sigs"), F.collect_list("counts").alias("counts"))
     groups = cut(rare_cells(lists))
     known = cut(packed_sets(docs, alive.select("node").distinct().join(nodes, "node").select("doc_id", "node"))).dropDuplicates(["node"])
-    labels = link(groups, lambda pairs: verified(pairs, known))
+    labels = connect(groups, known)
     if labels is None:
         where = nodes.select("node", F.col("doc_id").alias("component"))
     else:
