@@ -2,10 +2,12 @@
 
 Seeds are the matches of four strict forms (email, ip, card, phone) that pass their checks. Every identifier-like token (one
 with a digit or an "@") is an instance, and the word before it its lexical pattern. Patterns and instances make a bipartite
-graph that is scored in rounds: a pattern's confidence for a kind is the scores of its instances of that kind over all its
-instances plus one; an instance that no seed covers, stands in a pattern of high confidence that seeds of several
-documents support, and has a shape in which that kind is written loosely, becomes an instance with the pattern's confidence, and
-counts in the next round. So seeds teach contexts, and contexts find identifiers that the strict forms miss.
+graph, an instance being a node for its kind and normalised writing, joined to the patterns of all its occurrences. A
+pattern's confidence for a kind is the scores of the occurrences of that kind over all its occurrences plus one. It is trusted
+if that is high and known instances in several documents support it; an instance in a trusted pattern whose shape is one in
+which the kind is written loosely gets the pattern's confidence as its score, wherever it occurs, and so may raise
+other patterns. That goes on until no instance is new; scores stay and patterns only gain, so it ends. Found are the
+occurrences in trusted patterns: a known string after a word that nothing else supports is left alone.
 
 Positions come from cutting a text at the matches: a match starts after all pieces and matches before it. The forms are
 written with possessive quantifiers and with \\G or a look-behind at the start, which match what the plain forms do
@@ -24,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small
 
 #: Fixed forms, in the order of their kinds.
 FORMS = {
@@ -45,7 +47,7 @@ LOOSE = {
 }
 WS = r"\x20\x09-\x0D"
 TOKEN = rf"(?<![^{WS}])[^{WS}0-9@]*+[0-9@][^{WS}]*+"
-CONFIDENCE, SUPPORT, ROUNDS = 0.8, 5, 3
+CONFIDENCE, SUPPORT = 0.8, 5
 
 
 def _spans(text: Column, form: str, extra=None) -> Column:
@@ -116,6 +118,13 @@ def instances(text: Column) -> Column:
     return F.when(text.rlike("[0-9@]"), F.filter(F.transform(raw, trim), lambda s: s["end"] > s["start"])).otherwise(none)
 
 
+def _normal(hit: Column, kind: Column) -> Column:
+    """What an identifier has in common with its other writings."""
+    at = F.regexp_replace(F.lower(hit), r"[(\[{]at[)\]}]", "@")
+    dots = F.regexp_replace(at, r"\(dot\)|\[dot\]|[(\[]\.[)\]]", ".")
+    return F.when(kind.isin("card", "phone"), F.regexp_replace(hit, "[^0-9]", "")).otherwise(dots)
+
+
 def bootstrap(table: DataFrame) -> DataFrame:
     """(rid, kind, start, end) of identifiers found by patterns. table: rid, a span array for each kind, inst."""
     one = table.select("rid", F.explode("inst").alias("i"), *KINDS).select("rid", "i.*", *KINDS).where("before <> ''")
@@ -129,26 +138,21 @@ def bootstrap(table: DataFrame) -> DataFrame:
     for k in reversed(KINDS):
         shape = F.when(F.col("hit").rlike(LOOSE[k]), F.lit(k)).otherwise(shape)
     one = one.where(~inside).select("rid", "start", "end", "hit", "before", of.alias("kind"), shape.alias("shape"))
-    graph = cut(one)
-    found = None
-    for _ in range(ROUNDS):
-        state = graph.withColumn("score", F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0))
-        if found is not None:
-            state = graph.join(found.withColumnRenamed("kind", "new"), ["rid", "start", "end"], "left")
-            state = state.select("rid", "start", "end", "hit", "before", F.coalesce("kind", "new").alias("kind"), "shape", F.when(F.col("kind").isNotNull(), 1.0).otherwise(F.coalesce("score", F.lit(0.0))).alias("score"))
-        distinct = state.groupBy("before", "rid", "kind").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
-        sums = distinct.groupBy("before").agg(F.sum("n").alias("n"), *[c for k in KINDS for c in (F.sum(F.when(F.col("kind") == k, F.col("score"))).alias(f"s_{k}"), F.count(F.when(F.col("kind") == k, 1)).alias(f"d_{k}"))])
-        best = F.array(*[F.struct((F.col(f"s_{k}") / (F.col("n") + 1)).alias("confidence"), F.col(f"d_{k}").alias("support"), F.lit(k).alias("kind")) for k in KINDS])
-        patterns = sums.select("before", F.explode(best).alias("p")).select("before", "p.*").where((F.col("confidence") >= CONFIDENCE) & (F.col("support") >= SUPPORT))
-        now = graph.where("kind is null and shape is not null").drop("kind").join(patterns, "before").where("shape = kind").select("rid", "start", "end", "kind", F.col("confidence").alias("score"))
-        now = cut(now)
-        n = now.count()
-        if found is not None and n == known:
-            break
-        found, known = now, n
-        if not n:
-            break
-    return found.select("rid", "kind", "start", "end")
+    kind = F.coalesce("kind", "shape")
+    graph = cut(one.select("rid", "start", "end", "before", F.col("kind").isNotNull().alias("strict"), kind.alias("kind"), _normal(F.col("hit"), kind).alias("norm")))
+    totals = cut(graph.groupBy("before").agg(F.count("*").alias("n")))
+    nodes = graph.where("kind is not null")
+    scores = cut(nodes.where("strict").select("norm", "kind").distinct().withColumn("score", F.lit(1.0)))
+    while True:
+        near = nodes.join(small(scores), ["norm", "kind"])
+        sums = near.groupBy("before", "kind", "rid").agg(F.sum("score").alias("score")).groupBy("before", "kind").agg(F.sum("score").alias("score"), F.count("*").alias("support"))
+        patterns = sums.where(F.col("support") >= SUPPORT).join(totals, "before").select("before", "kind", (F.col("score") / (F.col("n") + 1)).alias("confidence"))
+        patterns = small(cut(patterns.where(F.col("confidence") >= CONFIDENCE)))
+        reached = nodes.join(patterns, ["before", "kind"]).groupBy("norm", "kind").agg(F.max("confidence").alias("score"))
+        new = cut(reached.join(scores.select("norm", "kind"), ["norm", "kind"], "left_anti"))
+        if not new.limit(1).count():
+            return nodes.where("not strict").join(patterns, ["before", "kind"]).select("rid", "kind", "start", "end")
+        scores = cut(scores.unionByName(new))
 
 
 def _written(spans: list[tuple[str, Column]]) -> Column:

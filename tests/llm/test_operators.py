@@ -235,6 +235,16 @@ def test_contexts_find_what_the_forms_miss(spark):
     assert got[31].spans == ""
 
 
+def test_found_instances_teach_other_contexts(spark):
+    """"ring" has no seed: it is trusted for what "dial" found, and "buzz" for what "ring" found."""
+    texts = [f"dial +1 (269) 555-{1000 + i} now" for i in range(400)] + [f"dial 269-555-{2000 + i} now" for i in range(10)]
+    texts += [f"ring 269-555-{2000 + i} now" for i in range(10)] * 4 + [f"ring 269-555-{3000 + i} now" for i in range(3)]
+    texts += [f"buzz 269-555-{3000 + i % 3} now" for i in range(60)] + ["buzz 269.555.4000 now", "part 269-555-2000 now"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.n_found for r in pii.personal_data(df).orderBy("doc_id").collect()]
+    assert got == [0] * 400 + [1] * (len(texts) - 401) + [0]
+
+
 # lines
 
 def edits(a, b):
