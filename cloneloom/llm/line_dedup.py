@@ -1,7 +1,8 @@
 """Line deduplication by a segment-partition edit join (Li et al., 2011), with DataFrame functions only.
 
 Lines within TAU edits of each other are linked, as are equal ones; of each connected class the first line, in the order
-of (id, text hash, line number), stays. Lines under FUZZY characters are linked only if equal; blank lines stay.
+of (id, text hash, line number), stays. How many edits link two lines depends on the shorter: TAU from FUZZY characters,
+one from SHORT, none below, where one edit is over a tenth of a line and makes another word or number. Blank lines stay.
 
 A line is cut into TAU + 1 segments; if two lines are within TAU edits, one segment of the shorter occurs in the longer,
 near the same place. A line is indexed by its own segments, keyed by (length, number, segment), and probes the keys of each
@@ -12,7 +13,10 @@ it has each of some letters; an edit changes the counts by two at most, and pair
 left out inside the joins. Candidates are verified with a banded bit-parallel automaton: common beginnings and ends are left out, and then one small integer for each number of
 edits holds which diagonals can be reached.
 
-Only hashes of lines are shuffled, but for the texts of candidates. Lines are identified by 64-bit hashes.
+Segments of short lines would be in too many lines. Lines of SHORT to FUZZY characters are indexed by themselves and by what
+each becomes without one character, which two lines within one edit share.
+
+Only hashes of lines are shuffled, but for the texts of short lines and candidates. Lines are identified by 64-bit hashes.
 
 Defined results: null texts have no lines and stay null, an empty text is one blank line; rows with equal id and text are
 one document and get the same lines; extra columns pass through.
@@ -20,6 +24,8 @@ one document and get the same lines; extra columns pass through.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +33,7 @@ from .common import cut, link, small
 
 TAU = 2
 FUZZY = 40
+SHORT = 10
 #: Letters that sketches count.
 LETTERS = "etaoinshrdlucm"
 
@@ -53,6 +60,18 @@ def line_keys(line: Column, length: Column, tau: int) -> Column:
     return F.array(*out)
 
 
+def short_keys(line: Column, length: Column) -> Column:
+    """array<struct<key, own>> of a line and all it becomes without one character: lines within one edit share one."""
+    less = F.transform(F.sequence(F.lit(1), length), lambda i: F.xxhash64(F.concat(F.substr(line, F.lit(1), i - 1), F.substr(line, i + 1, length))))
+    keys = F.array_distinct(F.concat(F.array(F.xxhash64(line)), less))
+    return F.transform(keys, lambda k: F.struct(k.alias("key"), F.lit(True).alias("own")))
+
+
+def allowed(length: Column, tau: int, fuzzy: int) -> Column:
+    """The edits that link two lines, of which the shorter has this length."""
+    return F.when(length >= fuzzy, tau).when(length >= SHORT, min(tau, 1)).otherwise(0)
+
+
 def _let(value: Column, body) -> Column:
     """body of value, which is worked out once: the optimizer would put a plain column's expression into every use."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -69,8 +88,8 @@ def _common(a: Column, b: Column, most: Column) -> Column:
     return F.aggregate(steps, F.lit(0), lambda p, s: step(p, s))
 
 
-def within(a: Column, b: Column, tau: int) -> Column:
-    """Whether a and b, arrays of characters, are within tau edits, by a banded bit-parallel automaton.
+def within(a: Column, b: Column, tau: int, most: Column | None = None) -> Column:
+    """Whether a and b, arrays of characters, are within tau edits, or `most` of up to tau, by a banded bit-parallel automaton.
 
     Bit d + tau of r[e] tells whether the first j characters of b and the first j + d of a are within e edits."""
     width = 2 * tau + 1
@@ -93,9 +112,11 @@ def within(a: Column, b: Column, tau: int) -> Column:
 
     end = F.aggregate(F.sequence(F.lit(1), F.size(b)), begin, step)
     bit = F.call_function("shiftleft", F.lit(1), F.size(a) - F.size(b) + tau)
-    reached = end[f"r{tau}"].bitwiseAND(bit) != 0
-    none = F.size(a) <= tau  # b is empty: only what a has is an edit
-    return F.when(F.abs(F.size(a) - F.size(b)) > tau, F.lit(False)).when(F.size(b) == 0, none).otherwise(reached)
+    most = F.lit(tau) if most is None else most
+    row = reduce(lambda r, e: F.when(most == e, end[f"r{e}"]).otherwise(r), range(tau), end[f"r{tau}"])
+    reached = row.bitwiseAND(bit) != 0
+    none = F.size(a) <= most  # b is empty: only what a has is an edit
+    return F.when(F.abs(F.size(a) - F.size(b)) > most, F.lit(False)).when(F.size(b) == 0, none).otherwise(reached)
 
 
 def sketch(line: Column) -> Column:
@@ -104,17 +125,19 @@ def sketch(line: Column) -> Column:
     return F.array(n, *[n - F.length(F.replace(line, F.lit(c), F.lit(""))) for c in LETTERS])
 
 
-def sketches_near(a: Column, b: Column, tau: int) -> Column:
-    """Whether lines with these sketches can be within tau edits."""
+def sketches_near(a: Column, b: Column, tau: int, fuzzy: int = FUZZY) -> Column:
+    """Whether lines with these sketches can be within the edits allowed."""
     apart = sum((F.abs(F.get(a, F.lit(i)) - F.get(b, F.lit(i))) for i in range(1, len(LETTERS) + 1)), F.lit(0))
-    return (F.abs(F.get(a, F.lit(0)) - F.get(b, F.lit(0))) <= tau) & (apart <= 2 * tau)
+    most = allowed(F.least(F.get(a, F.lit(0)), F.get(b, F.lit(0))), tau, fuzzy)
+    return (F.abs(F.get(a, F.lit(0)) - F.get(b, F.lit(0))) <= most) & (apart <= 2 * most)
 
 
-def edit_linked(pairs: DataFrame, texts: DataFrame, tau: int = TAU) -> DataFrame:
-    """The pairs (a, b) whose lines are within tau edits. texts: node, line."""
+def edit_linked(pairs: DataFrame, texts: DataFrame, tau: int = TAU, fuzzy: int = FUZZY) -> DataFrame:
+    """The pairs (a, b) whose lines are within the edits allowed. texts: node, line."""
     x, y = (texts.select(F.col("node").alias(n), F.col("line").alias(f"t{n}")) for n in "ab")
     both = pairs.join(x, "a").join(y, "b")
-    close = F.abs(F.length("ta") - F.length("tb")) <= tau
+    most = allowed(F.least(F.length("ta"), F.length("tb")), tau, fuzzy)
+    close = F.abs(F.length("ta") - F.length("tb")) <= most
 
     def tails(v):
         p = _common(v["a"], v["b"], F.least(F.length(v["a"]), F.length(v["b"])))
@@ -126,7 +149,7 @@ def edit_linked(pairs: DataFrame, texts: DataFrame, tau: int = TAU) -> DataFrame
         rest = lambda t, n: F.when(F.length(t) > n, F.split(F.substr(t, n + 1, F.length(t)), "")).otherwise(F.array().cast("array<string>"))
         return _let(F.struct(v["a"].alias("a"), v["b"].alias("b"), q.alias("q")), lambda w: F.struct(rest(w["a"], w["q"]).alias("a"), rest(w["b"], w["q"]).alias("b")))
 
-    same = _let(F.struct(F.col("ta").alias("a"), F.col("tb").alias("b")), lambda v: _let(tails(v), lambda w: _let(middles(w), lambda c: within(c["a"], c["b"], tau))))
+    same = _let(F.struct(F.col("ta").alias("a"), F.col("tb").alias("b")), lambda v: _let(tails(v), lambda w: _let(middles(w), lambda c: within(c["a"], c["b"], tau, most))))
     return both.where(F.when(close, same).otherwise(F.lit(False))).select("a", "b")
 
 
@@ -141,6 +164,10 @@ def line_classes(docs: DataFrame, tau: int = TAU, fuzzy: int = FUZZY) -> tuple[D
     found = cut(lines.select("doc_id", "th", "pos", F.xxhash64("line").alias("node"), (~F.col("line").rlike(r"[^\x20\t\r\x0b\x0c]")).alias("blank")))
     long = lines.select("line", F.length("line").alias("len")).where(F.col("len") >= fuzzy)
     rows = long.select(F.xxhash64("line").alias("node"), F.explode(line_keys(F.col("line"), F.col("len"), tau)).alias("k")).select("node", "k.key", "k.own")
+    if tau:
+        brief = lines.select("line", F.length("line").alias("len")).where(F.col("len").between(SHORT, fuzzy)).distinct()
+        brief = brief.select(F.xxhash64("line").alias("node"), F.explode(short_keys(F.col("line"), F.col("len"))).alias("k"))
+        rows = rows.unionByName(brief.select("node", "k.key", "k.own"))
     rows = cut(rows, "none")  # read twice; hashes don't compress
     keys = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n"), F.max(F.col("own").cast("int")).alias("own"))
     shared = cut(keys.where("lo <> hi and own = 1").select("key", "lo", "hi", "n"))
@@ -149,10 +176,10 @@ def line_classes(docs: DataFrame, tau: int = TAU, fuzzy: int = FUZZY) -> tuple[D
     more = rows.join(small(many), "key").groupBy(F.col("key").alias("sig"), "node").agg(F.max("own").alias("own"))
     groups = cut(two.unionByName(more))
     wanted = small(groups.select("node").distinct().withColumnRenamed("node", "want"))
-    texts = long.withColumn("node", F.xxhash64("line")).join(wanted, F.col("node") == F.col("want")).select("node", "line")
+    texts = lines.where(F.length("line") >= min(SHORT, fuzzy)).select("line").withColumn("node", F.xxhash64("line")).join(wanted, F.col("node") == F.col("want")).select("node", "line")
     texts = cut(texts.dropDuplicates(["node"]).withColumn("sketch", sketch(F.col("line"))))
     groups = groups.join(texts.select("node", "sketch"), "node")
-    return found, link(groups, lambda pairs: edit_linked(pairs, texts, tau), lambda a, b: sketches_near(a, b, tau))
+    return found, link(groups, lambda pairs: edit_linked(pairs, texts, tau, fuzzy), lambda a, b: sketches_near(a, b, tau, fuzzy))
 
 
 def dropped_lines(docs: DataFrame, tau: int = TAU, fuzzy: int = FUZZY) -> DataFrame:

@@ -303,6 +303,35 @@ def test_lines(spark):
     assert line_dedup.dropped_lines(df.limit(0).select("doc_id", "text")).count() == 0
 
 
+def test_short_lines(spark):
+    """Against brute force with limits of its own: 2 edits from 40 characters, 1 from 10, by the shorter line."""
+    rng = random.Random(17)
+    lines = ["The anhely eran.", "The, anhely eran.", "Thwhesnd esator whshing and hewh.", "Thwhesnd, esator whshing and hewh.", "y" * 39, "y" * 40, "z" * 38, "z" * 40, "abcdefghi", "abcdefghij", "abcdefghix"]
+    for n in (9, 10, 11, 20, 38, 39, 40, 41):
+        for _ in range(3):
+            stem = "".join(rng.choice("abcdé ") for _ in range(n - 2)) + "xy"
+            lines.append(stem)
+            for k in (1, 1, 2):
+                s = stem
+                for _ in range(k):
+                    i = rng.randrange(len(s))
+                    kind = rng.choice("isd")
+                    s = s[:i] + ("" if kind == "d" else rng.choice("ZÉ")) + s[i + (kind != "i") :]
+                lines.append(s)
+    lines = list(dict.fromkeys(lines))
+    label = list(range(len(lines)))
+    for i, a in enumerate(lines):
+        for j, b in enumerate(lines[:i]):
+            n = min(len(a), len(b))
+            if edits(a, b) <= (2 if n >= 40 else 1 if n >= 10 else 0):
+                x, y = sorted((label[i], label[j]))
+                label = [x if l == y else l for l in label]
+    df = spark.createDataFrame([(i, l) for i, l in enumerate(lines)], "doc_id long, text string")
+    got = {r.doc_id: r.dropped for r in line_dedup.dropped_lines(df).collect()}
+    assert got == {i: [0] if label[i] != i else [] for i in range(len(lines))}
+    assert got[1] == got[3] == got[5] == [0] and got[7] == [] and got[9] == []
+
+
 def test_automaton_equals_edit_distance(spark):
     rng = random.Random(8)
     pairs = []
