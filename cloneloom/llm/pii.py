@@ -1,9 +1,12 @@
 """Personal data by bootstrapped contextual extraction, with DataFrame functions only.
 
-Seeds are the matches of four strict forms (email, ip, card, phone) that pass their checks. Every identifier-like token (one
-with a digit or an "@") is an instance, and the word before it its lexical pattern. Patterns and instances make a bipartite
+Seeds are the matches of four strict forms (email, ip, card, phone) that pass their checks. Instances are the places where a
+kind is written loosely, in one token or several, and every other identifier-like token (one with a digit or an "@"). An
+instance's patterns are the word before it, and that word with the one after it; where no word is before it, the word after.
+Other instances and lone marks between are skipped. Patterns and instances make a bipartite
 graph, an instance being a node for its kind and normalised writing, joined to the patterns of all its occurrences. A
-pattern's confidence for a kind is the scores of the occurrences of that kind over all its occurrences plus one. It is trusted
+pattern's confidence for a kind is the scores of its occurrences of that kind, over these, its wrong occurrences (of another
+kind, or not even loosely of this one) and one; loose ones that are still unknown don't count. It is trusted
 if that is high and known instances in several documents support it; an instance in a trusted pattern whose shape is one in
 which the kind is written loosely gets the pattern's confidence as its score, wherever it occurs, and so may raise
 other patterns. That goes on until no instance is new; scores stay and patterns only gain, so it ends. Found are the
@@ -14,7 +17,7 @@ written with possessive quantifiers and with \\G or a look-behind at the start,
 without deep recursion or restarts inside long runs.
 
 Texts are read once, into a narrow table of spans and instances. Patterns are aggregated with partial sums, so a word
-before a third of all identifiers is no hot task.
+beside a third of all identifiers is no hot task.
 
 Defined results: null and empty texts have no spans; repeated rows are judged each on their own; positions are code points, the end exclusive.
 """
@@ -38,33 +41,49 @@ FORMS = {
 KINDS = list(FORMS)
 #: What a text must hold for a form to be looked for.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-#: Loose shapes of each kind, for whole tokens without their punctuation.
+AT = r"(?:\x20?[(\[{]at[)\]}]\x20?|\x20?@\x20?|\x20at\x20)"
+DOT = r"(?:\x20?(?:[(\[{]dot[)\]}]|[(\[]\.[)\]])\x20?|\x20dot\x20|\x20\.\x20)"
+GAP = r"(?:\x20?[./-]\x20?|\x20)"
+#: Loose shapes of each kind, without the punctuation around them; of one token or several.
 LOOSE = {
-    "email": r"^[A-Za-z0-9._%+-]+(\(at\)|\[at\]|\{at\}|@)[A-Za-z0-9-]+((\.|\(dot\)|\[dot\]|\[\.\])[A-Za-z0-9-]+)+$",
-    "ip": r"^[0-9]{1,3}((\[\.\]|\(\.\)|\(dot\)|\[dot\])[0-9]{1,3}){3}$",
-    "card": r"^[0-9]{4}([._/]?[0-9]{4}){3}$",
-    "phone": r"^\(?[0-9]{3}\)?[./-][0-9]{3}[./-][0-9]{4}$",
+    "email": rf"[A-Za-z0-9._%+-]++{AT}[A-Za-z0-9-]++(?:(?:\.|{DOT})[A-Za-z0-9-]++)++",
+    "ip": rf"(?![0-9]+\.[0-9]+\.[0-9]+\.[0-9])[0-9]{{1,3}}(?:(?:\.|{DOT})[0-9]{{1,3}}){{3}}",
+    "card": r"[0-9]{4}(?:[\x20._/-]?[0-9]{4}){3}",
+    "phone": rf"(?:\([0-9]{{3}}\)\x20?|\(?[0-9]{{3}}\)?{GAP})[0-9]{{3}}{GAP}[0-9]{{4}}",
 }
 WS = r"\x20\x09-\x0D"
-TOKEN = rf"(?<![^{WS}])[^{WS}0-9@]*+[0-9@][^{WS}]*+"
+MANY = "|".join(LOOSE.values())
+TOKEN = rf"(?<![^{WS}])(?:[\"'(<:;,]*(?i:{MANY})(?=[\"')>:;,.!?]*+(?:[{WS}]|$))|[^{WS}0-9@]*+[0-9@][^{WS}]*+)"
 CONFIDENCE, SUPPORT = 0.8, 5
 
 
-def _spans(text: Column, form: str, extra=None) -> Column:
-    """array<struct<start, end, hit, before>> of a form's matches; before is the text since the match before."""
+def _spans(text: Column, form: str, words: bool = False) -> Column:
+    """array<struct<start, end, hit, before, after>> of a form's matches; if wanted, before and after are the nearest words
+    outside of matches."""
     hits = F.regexp_extract_all(text, F.lit(form), F.lit(0))
     gaps = F.split(text, form, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,hit:string,before:string>>)").alias("out"))
-    keep = extra if extra is not None else (lambda g: F.lit(None).cast("string"))
+    kind = "array<struct<start:int,end:int,hit:string,before:string,after:string>>"
+    none = F.expr(f"cast(array() as {kind})")
+    last, first = (_last_word, _first_word) if words else ((lambda g: F.lit("")), (lambda g: F.lit("")))
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("word"), none.alias("out"))
 
     def step(acc, x):
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["hit"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"), keep(x["gap"]).alias("before"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        word = F.coalesce(F.nullif(last(x["gap"]), F.lit("")), acc["word"])
+        one = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"), word.alias("before"), first(x["next"]).alias("after"))
+        return F.struct(end.alias("at"), word.alias("word"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    pairs = F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(hits)), lambda h, g: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.aggregate(pairs, zero, step)["out"]
+    def back(acc, x):
+        word = F.coalesce(F.nullif(x["after"], F.lit("")), acc["word"])
+        one = F.struct(x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("hit"), x["before"].alias("before"), word.alias("after"))
+        return F.struct(word.alias("word"), F.concat(acc["out"], F.array(one)).alias("out"))
+
+    beside = F.arrays_zip(hits.alias("hit"), F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), F.slice(gaps, F.lit(2), F.size(hits)).alias("next"))
+    out = F.aggregate(beside, zero, step)["out"]
+    if not words:
+        return out
+    return F.aggregate(F.reverse(out), F.struct(F.lit("").alias("word"), none.alias("out")), back)["out"]
 
 
 def _luhn(hit: Column) -> Column:
@@ -99,35 +118,41 @@ def base_spans(text: Column, kind: str) -> Column:
 
 
 def _last_word(gap: Column) -> Column:
-    """The word a piece of text ends with, lower-cased and without punctuation; of at most the last 200 characters."""
-    tail = F.rtrim(F.translate(F.substring(gap, -200, 200), "\t\n\x0b\x0c\r", "     "))
+    """The last word of a piece of text, lower-cased and without punctuation; of at most the last 200 characters."""
+    tail = F.regexp_replace(F.translate(F.substring(gap, -200, 200), "\t\n\x0b\x0c\r", "     "), r"[^\p{L}\p{N}]+$", "")
     return F.lower(F.regexp_replace(F.substring_index(tail, " ", -1), r"[^\p{L}\p{N}]+", ""))
 
 
+def _first_word(gap: Column) -> Column:
+    """The first word, in the same way."""
+    head = F.regexp_replace(F.translate(F.substring(gap, 1, 200), "\t\n\x0b\x0c\r", "     "), r"^[^\p{L}\p{N}]+", "")
+    return F.lower(F.regexp_replace(F.substring_index(head, " ", 1), r"[^\p{L}\p{N}]+", ""))
+
+
 def instances(text: Column) -> Column:
-    """array<struct<start, end, hit, before>> of identifier-like tokens, punctuation at their ends left out."""
-    raw = _spans(text, TOKEN, _last_word)
+    """array<struct<start, end, hit, before, after>> of loosely written identifiers and identifier-like tokens, punctuation at
+    their ends left out."""
+    raw = _spans(text, TOKEN, True)
 
     def trim(s):
-        lead = F.length(s["hit"]) - F.length(F.regexp_replace(s["hit"], r"^[\"'(<:;,]+", ""))
+        lead = F.length(s["hit"]) - F.length(F.regexp_replace(s["hit"], r"^(?:[\"'<:;,]|\((?![0-9]{3}\)))+", ""))
         trail = F.length(s["hit"]) - F.length(F.regexp_replace(s["hit"], r"[\"')>:;,.!?]+$", ""))
         start, end = s["start"] + lead, s["end"] - trail
-        return F.struct(start.alias("start"), end.alias("end"), F.substr(s["hit"], lead + 1, F.greatest(F.lit(0), end - start)).alias("hit"), s["before"].alias("before"))
+        return F.struct(start.alias("start"), end.alias("end"), F.substr(s["hit"], lead + 1, F.greatest(F.lit(0), end - start)).alias("hit"), s["before"].alias("before"), s["after"].alias("after"))
 
-    none = F.expr("cast(array() as array<struct<start:int,end:int,hit:string,before:string>>)")
-    return F.when(text.rlike("[0-9@]"), F.filter(F.transform(raw, trim), lambda s: s["end"] > s["start"])).otherwise(none)
+    none = F.expr("cast(array() as array<struct<start:int,end:int,hit:string,before:string,after:string>>)")
+    return F.when(text.rlike(rf"[0-9@]|(?i:{AT}[a-z0-9-]++(?:\.|{DOT})[a-z0-9-])"), F.filter(F.transform(raw, trim), lambda s: s["end"] > s["start"])).otherwise(none)
 
 
 def _normal(hit: Column, kind: Column) -> Column:
     """What an identifier has in common with its other writings."""
-    at = F.regexp_replace(F.lower(hit), r"[(\[{]at[)\]}]", "@")
-    dots = F.regexp_replace(at, r"\(dot\)|\[dot\]|[(\[]\.[)\]]", ".")
+    dots = F.regexp_replace(F.regexp_replace(F.lower(hit), AT, "@"), DOT, ".")
     return F.when(kind.isin("card", "phone"), F.regexp_replace(hit, "[^0-9]", "")).otherwise(dots)
 
 
 def bootstrap(table: DataFrame) -> DataFrame:
     """(rid, kind, start, end) of identifiers found by patterns. table: rid, a span array for each kind, inst."""
-    one = table.select("rid", F.explode("inst").alias("i"), *KINDS).select("rid", "i.*", *KINDS).where("before <> ''")
+    one = table.select("rid", F.explode("inst").alias("i"), *KINDS).select("rid", "i.*", *KINDS).where("before <> '' or after <> ''")
     of = F.lit(None).cast("string")
     inside = F.lit(False)
     for k in reversed(KINDS):
@@ -136,22 +161,28 @@ def bootstrap(table: DataFrame) -> DataFrame:
         inside = inside | F.exists(F.col(k), lambda b: (b["start"] < F.col("start")) & (b["end"] > F.col("start")))
     shape = F.lit(None).cast("string")
     for k in reversed(KINDS):
-        shape = F.when(F.col("hit").rlike(LOOSE[k]), F.lit(k)).otherwise(shape)
-    one = one.where(~inside).select("rid", "start", "end", "hit", "before", of.alias("kind"), shape.alias("shape"))
+        shape = F.when(F.col("hit").rlike(f"(?i)^(?:{LOOSE[k]})$"), F.lit(k)).otherwise(shape)
+    one = one.where(~inside).select("rid", "start", "end", "hit", "before", "after", of.alias("kind"), shape.alias("shape"))
     kind = F.coalesce("kind", "shape")
-    graph = cut(one.select("rid", "start", "end", "before", F.col("kind").isNotNull().alias("strict"), kind.alias("kind"), _normal(F.col("hit"), kind).alias("norm")))
-    totals = cut(graph.groupBy("before").agg(F.count("*").alias("n")))
+    before, after = F.col("before"), F.col("after")
+    pattern = lambda side, word, use: F.struct(F.concat(F.lit(side), word).alias("pattern"), use.alias("use"))
+    # a word after an instance counts for all, but is not enough to find one that has a word before it
+    sides = F.array(F.when(before != "", pattern("<", before, F.lit(True))), F.when((before != "") & (after != ""), pattern("=", F.concat_ws(" ", before, after), F.lit(True))), F.when(after != "", pattern(">", after, before == "")))
+    graph = cut(one.select("rid", "start", "end", F.col("kind").isNotNull().alias("strict"), kind.alias("kind"), _normal(F.col("hit"), kind).alias("norm"), F.explode(F.filter(sides, lambda p: p.isNotNull())).alias("p")).select("*", "p.*").drop("p"))
+    totals = graph.groupBy("pattern", "kind").agg(F.count("*").alias("n")).groupBy("pattern").agg(F.sum("n").alias("n"), *[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n_{k}") for k in KINDS])
+    wrong = cut(totals.select("pattern", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), (F.col("n") - F.col(f"n_{k}")).alias("wrong")) for k in KINDS])).alias("w")).select("pattern", "w.*"))
     nodes = graph.where("kind is not null")
     scores = cut(nodes.where("strict").select("norm", "kind").distinct().withColumn("score", F.lit(1.0)))
     while True:
         near = nodes.join(small(scores), ["norm", "kind"])
-        sums = near.groupBy("before", "kind", "rid").agg(F.sum("score").alias("score")).groupBy("before", "kind").agg(F.sum("score").alias("score"), F.count("*").alias("support"))
-        patterns = sums.where(F.col("support") >= SUPPORT).join(totals, "before").select("before", "kind", (F.col("score") / (F.col("n") + 1)).alias("confidence"))
+        sums = near.groupBy("pattern", "kind", "rid").agg(F.sum("score").alias("score")).groupBy("pattern", "kind").agg(F.sum("score").alias("score"), F.count("*").alias("support"))
+        patterns = sums.where(F.col("support") >= SUPPORT).join(wrong, ["pattern", "kind"]).select("pattern", "kind", (F.col("score") / (F.col("score") + F.col("wrong") + 1)).alias("confidence"))
         patterns = small(cut(patterns.where(F.col("confidence") >= CONFIDENCE)))
-        reached = nodes.join(patterns, ["before", "kind"]).groupBy("norm", "kind").agg(F.max("confidence").alias("score"))
-        new = cut(reached.join(scores.select("norm", "kind"), ["norm", "kind"], "left_anti"))
+        reached = nodes.where("use").join(patterns, ["pattern", "kind"])
+        best = reached.groupBy("norm", "kind").agg(F.max("confidence").alias("score"))
+        new = cut(best.join(scores.select("norm", "kind"), ["norm", "kind"], "left_anti"))
         if not new.limit(1).count():
-            return nodes.where("not strict").join(patterns, ["before", "kind"]).select("rid", "kind", "start", "end")
+            return reached.where("not strict").select("rid", "kind", "start", "end").distinct()
         scores = cut(scores.unionByName(new))
 
 

@@ -245,6 +245,22 @@ def test_found_instances_teach_other_contexts(spark):
     assert got == [0] * 400 + [1] * (len(texts) - 401) + [0]
 
 
+def test_contexts_skip_neighbours_and_candidates_have_several_tokens(spark):
+    seeds = [f"tel +1 (269) 555-{1000 + i} {'xyz'[i % 3]}" for i in range(30)] + [f"write a{i}@b.org soon" for i in range(30)]
+    seeds += [f"+1 (269) 555-{2000 + i} reaches me" for i in range(10)] + [f"lot +1 (269) 555-{3000 + i}, lot 17b" for i in range(6)]
+    seeds += [f"ring +1 (269) 555-{4000 + i} now" for i in range(6)] + [f"ip 10.0.0.{i} is up" for i in range(10)]
+    cases = {
+        "tel 555-123-4567 555-123-4568": "phone:4:16,phone:17:29", "tel 2 269-555-1234": "phone:6:18", "tel : 269-555-1235": "phone:6:18",
+        "tel 555 123 4567 x": "phone:4:16", "tel (269) 555-1234, x": "phone:4:18", "write joe at host dot com soon": "email:6:25",
+        "write joe (at) host.com.": "email:6:23", "269-555-7777 reaches me": "phone:0:12", "ip 10 dot 0 dot 0 dot 1 is": "ip:3:23",
+        "lot 269-555-1236": "", "part 269-555-1237 reaches me": "", "meet joe at host dot com": "", "269-555-7778": "",
+    }
+    cases |= {f"ring 269-555-{5000 + i} now": "phone:5:17" for i in range(20)}
+    df = spark.createDataFrame(list(enumerate([*seeds, *cases])), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.personal_data(df).collect()}
+    assert {t: got[len(seeds) + i] for i, t in enumerate(cases)} == cases
+
+
 # lines
 
 def edits(a, b):
