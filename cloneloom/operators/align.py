@@ -1,8 +1,8 @@
 """Reads: merging of overlapping mates, V/D/J/C assignment by k-mer seeds and banded scoring, statuses.
 
 Candidate genes come from an equi-join of read k-mers with the library's k-mers (the library is small and its size is
-checked before it is broadcast); only reads' best candidates are scored by dynamic programming, in Arrow batches. The scoring
-is Smith-Waterman with linear gaps (1981) in a band around the seeds' diagonal.
+checked before it is broadcast); every gene that shares a k-mer with a read is scored by dynamic programming, in Arrow
+batches, since the order of scores can differ from that of k-mer counts. The scoring is Smith-Waterman with linear gaps (1981) in a band around the seeds' diagonal.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.sequence import kmers
 from ..shipping import ship
@@ -97,8 +96,9 @@ def local_scores(reads: list[str], refs: list[str], diagonals: list[int], band:
     return best
 
 
-def align_reads(reads: DataFrame, library: DataFrame, read_id: str = "read_id", seq: str = "seq", k: int = 9, candidates: int = 3, min_score: int = 40, relative: float = 0.9, max_hits: int = 3) -> DataFrame:
-    """(read_id, gene_type, hits): for each gene type the best genes of a read, hits being (gene, score) by falling score.
+def align_reads(reads: DataFrame, library: DataFrame, read_id: str = "read_id", seq: str = "seq", k: int = 9, min_score: int = 40, relative: float = 0.9, max_hits: int | None = None) -> DataFrame:
+    """(read_id, gene_type, hits): for each gene type the genes of a read whose score is at least `relative` of the best, hits being
+    (gene, score) by falling score; the first `max_hits` of them if that is given.
 
     library: gene, gene_type, ref. Genes without a sequence or with wildcards are left out."""
     lib = library.where("ref is not null and not ref rlike '[^ACGT]'")
@@ -110,10 +110,8 @@ def align_reads(reads: DataFrame, library: DataFrame, read_id: str = "read_id",
     index = lib.select("gene", "gene_type", F.explode(pos("ref")).alias("s")).select("gene", "gene_type", "s.kmer", F.col("s.at").alias("ref_at"))
     seeds = reads.select(read_id, F.explode(pos(seq)).alias("s")).select(read_id, "s.kmer", "s.at").join(F.broadcast(index), "kmer")
     near = seeds.groupBy(read_id, "gene_type", "gene", (F.col("ref_at") - F.col("at")).alias("diagonal")).agg(F.count(F.lit(1)).alias("n"))
-    best = near.groupBy(read_id, "gene_type", "gene").agg(F.max_by("diagonal", F.struct("n", "diagonal")).alias("diagonal"), F.max("n").alias("n"))
-    w = Window.partitionBy(read_id, "gene_type").orderBy(F.col("n").desc(), "gene")
-    some = best.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= candidates)
-    rows = some.join(F.broadcast(lib.select("gene", "ref")), "gene").join(reads.select(read_id, F.col(seq).alias("_seq")), read_id)
+    best = near.groupBy(read_id, "gene_type", "gene").agg(F.max_by("diagonal", F.struct("n", "diagonal")).alias("diagonal"))
+    rows = best.join(F.broadcast(lib.select("gene", "ref")), "gene").join(reads.select(read_id, F.col(seq).alias("_seq")), read_id)
 
     def run(batches):
         for b in batches:
@@ -125,7 +123,8 @@ def align_reads(reads: DataFrame, library: DataFrame, read_id: str = "read_id",
     scored = rows.select(read_id, "gene_type", "gene", "_seq", "ref", "diagonal").mapInArrow(run, f"{read_id} {kind}, gene_type string, gene string, score double").where(F.col("score") >= min_score)
     hits = scored.groupBy(read_id, "gene_type").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("k"), "gene", "score"))).alias("h"))
     top = F.filter("h", lambda x: x["score"] >= relative * F.element_at("h", 1)["score"])
-    return hits.select(read_id, "gene_type", F.transform(F.slice(top, 1, max_hits), lambda x: F.struct(x["gene"].alias("gene"), x["score"].alias("score"))).alias("hits"))
+    top = top if max_hits is None else F.slice(top, 1, max_hits)
+    return hits.select(read_id, "gene_type", F.transform(top, lambda x: F.struct(x["gene"].alias("gene"), x["score"].alias("score"))).alias("hits"))
 
 
 def statuses(reads: DataFrame, hits: DataFrame, read_id: str = "read_id", need: Sequence[str] = ("V", "J")) -> DataFrame:

@@ -191,6 +191,18 @@ def test_merge_and_align(spark):
     assert {r.status for r in align.statuses(rd, align.align_reads(rd, lib)).collect()} == {"NoJHits"}
 
 
+def test_alleles_that_differ_in_a_few_bases(spark):
+    ref = "ACGTTGCAAGGCTTAACCGGTATCGATCGTACCATGCATGGTTCAGGACTTACGGATCCA"
+    other = dict(zip("ACGT", "CGTA", strict=True))
+    changed = lambda *at: "".join(other[c] if i in at else c for i, c in enumerate(ref))
+    alleles = {f"A{i}": changed(0, 1, 2) for i in range(5)} | {f"B{i}": changed(20 + i) for i in range(5)} | {"Z": changed(58)}
+    lib = spark.createDataFrame([(g, "V", r) for g, r in alleles.items()], "gene string, gene_type string, ref string")
+    got = align.align_reads(spark.createDataFrame([(1, ref)], "read_id long, seq string"), lib).first().hits
+    want = {g: max(0, align.local_score(ref, r, 0)[0]) for g, r in alleles.items()}
+    assert min(want.values()) >= 0.9 * max(want.values()) and want["B0"] > want["A0"]
+    assert [(h.gene, h.score) for h in got] == sorted(want.items(), key=lambda x: (-x[1], x[0]))
+
+
 def test_metadata(spark, tmp_path):
     (tmp_path / "m.csv").write_text("Sample,Age,Group\na,3,x\nb,4,7\n")
     m = tables.read_metadata(spark, str(tmp_path / "m.csv"))
