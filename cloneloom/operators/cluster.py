@@ -15,17 +15,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..shipping import ship
-from .graph import components, one_mismatch_pairs, settle
+from .graph import components, near_pairs, settle
 
 
-def cluster_errors(clones: DataFrame, key: str = "cdr3_nt", by: Sequence[str] = ("sample",), weight: str = "count", ratio: float = 10.0, depth: int = 2, add_counts: bool = True) -> DataFrame:
-    """Clones without those that look like errors of a `ratio` times larger one that differs in one place, followed up to
-    `depth` steps; their counts are added to it if wanted."""
+def cluster_errors(clones: DataFrame, key: str = "cdr3_nt", by: Sequence[str] = ("sample",), weight: str = "count", ratio: float = 10.0, depth: int = 2, add_counts: bool = True, edits: int = 1, indels: bool = False) -> DataFrame:
+    """Clones without those that look like errors of a `ratio` times larger one within `edits` mismatches, with `indels`
+    insertions and deletions as well, followed up to `depth` steps; their counts are added to it if wanted."""
     by = list(by)
     out = clones
     for _ in range(depth):
         sums = out.groupBy(*by, key).agg(F.sum(weight).alias("_w"))
-        pairs = one_mismatch_pairs(sums, key, by, "_w").where(F.col("parent_weight") >= ratio * F.col("child_weight"))
+        pairs = near_pairs(sums, key, by, "_w", ratio, edits, indels)
         best = pairs.groupBy(*by, "child").agg(F.max_by("parent", F.struct("parent_weight", "parent")).alias("parent"))
         moved = out.join(best.withColumnRenamed("child", key), [*by, key], "left")
         if add_counts:

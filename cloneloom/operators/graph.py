@@ -68,3 +68,28 @@ def one_mismatch_pairs(df: DataFrame, key: str, by: list[str], weight: str) -> D
     best = marks.groupBy(*by, "mark").agg(F.max_by(F.struct("s", "w"), F.struct("w", "s")).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     pairs = marks.join(best, [*by, "mark"]).where("s <> best.s")
     return pairs.select(*by, F.col("s").alias("child"), F.col("best.s").alias("parent"), F.col("w").alias("child_weight"), F.col("best.w").alias("parent_weight")).distinct()
+
+
+def fewer(s: Column, n: int) -> Column:
+    """The string and all it becomes when up to n characters are left out: strings within n edits share one of them."""
+    out = last = F.array(s)
+    for _ in range(n):
+        last = F.array_distinct(F.flatten(F.transform(last, lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), lambda i: F.concat(F.substr(t, F.lit(1), i - 1), F.substr(t, i + 1, F.length(t)))))))
+        out = F.array_union(out, last)
+    return out
+
+
+def near_pairs(df: DataFrame, key: str, by: list[str], weight: str, ratio: float, edits: int = 1, indels: bool = False) -> DataFrame:
+    """As one_mismatch_pairs, of strings that differ by up to `edits` mismatches, or insertions and deletions as well, the
+    parent being `ratio` times as heavy. Beyond one mismatch strings meet at what is left without `edits` characters, and
+    are verified."""
+    if edits == 1 and not indels:
+        return one_mismatch_pairs(df, key, by, weight).where(F.col("parent_weight") >= ratio * F.col("child_weight"))
+    marks = settle(df.select(*by, F.col(key).alias("s"), F.col(weight).alias("w"), F.explode(fewer(F.col(key), edits)).alias("mark")))
+    a, b = (marks.select(*by, "mark", F.col("s").alias(n), F.col("w").alias(f"{n}_weight")) for n in ("child", "parent"))
+    heavier = (F.col("parent_weight") >= ratio * F.col("child_weight")) & (F.struct("parent_weight", "parent") > F.struct("child_weight", "child"))
+    pairs = a.join(b, [*by, "mark"]).where(heavier).drop("mark").distinct()
+    if indels:
+        return pairs.where(F.levenshtein("child", "parent", edits) >= 0)
+    differ = F.aggregate(F.zip_with(F.split("child", ""), F.split("parent", ""), lambda x, y: (x != y).cast("int")), F.lit(0), lambda n, v: n + v)
+    return pairs.where((F.length("child") == F.length("parent")) & (differ <= edits))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .graph import one_mismatch_pairs
+from .graph import near_pairs
 
 # The IUPAC codes of sets of bases.
 IUPAC = {"A": "A", "C": "C", "G": "G", "T": "T", "R": "[AG]", "Y": "[CT]", "S": "[CG]", "W": "[AT]", "K": "[GT]", "M": "[AC]", "B": "[CGT]", "D": "[AGT]", "H": "[ACT]", "V": "[ACG]", "N": "[ACGT]"}
@@ -92,21 +92,21 @@ def aliases(df: DataFrame, tag: str, table: DataFrame) -> DataFrame:
     return df.join(t, F.upper(tag) == F.col("_a"), "left").withColumn(tag, F.coalesce("_name", tag)).drop("_a", "_name")
 
 
-def correct_level(df: DataFrame, tag: str, above: Sequence[str] = (), ratio: float = 4.0, weight: str = "weight") -> DataFrame:
-    """One step of correction of a tag inside its parents: a tag that differs in one place from another `ratio` times as
-    heavy becomes that."""
+def correct_level(df: DataFrame, tag: str, above: Sequence[str] = (), ratio: float = 4.0, weight: str = "weight", edits: int = 1, indels: bool = False) -> DataFrame:
+    """One step of correction of a tag inside its parents: a tag within `edits` mismatches, with `indels` insertions and
+    deletions as well, of another `ratio` times as heavy becomes that."""
     above = list(above)
     sums = df.groupBy(*above, tag).agg(F.sum(weight).alias("_w"))
-    pairs = one_mismatch_pairs(sums, tag, above, "_w").where(F.col("parent_weight") >= ratio * F.col("child_weight"))
+    pairs = near_pairs(sums, tag, above, "_w", ratio, edits, indels)
     best = pairs.groupBy(*above, "child").agg(F.max_by("parent", F.struct("parent_weight", "parent")).alias("parent"))
     return df.join(best.withColumnRenamed("child", tag), [*above, tag], "left").withColumn(tag, F.coalesce("parent", tag)).drop("parent")
 
 
-def correct(df: DataFrame, tags: Sequence[str], weight: str = "weight", ratio: float = 4.0, rounds: int = 3) -> DataFrame:
+def correct(df: DataFrame, tags: Sequence[str], weight: str = "weight", ratio: float = 4.0, rounds: int = 3, edits: int = 1, indels: bool = False) -> DataFrame:
     """Barcodes corrected level by level, a child tag inside its parents; chains are followed in rounds."""
     for level, tag in enumerate(tags):
         for _ in range(rounds):
-            df = correct_level(df, tag, tags[:level], ratio, weight)
+            df = correct_level(df, tag, tags[:level], ratio, weight, edits, indels)
     return df
 
 

@@ -191,6 +191,38 @@ def test_merge_and_align(spark):
     assert {r.status for r in align.statuses(rd, align.align_reads(rd, lib)).collect()} == {"NoJHits"}
 
 
+def test_errors_of_several_edits(spark):
+    rng = random.Random(5)
+    stem = "ACGTTGCAAGGCTTAACC"
+    rows = {stem: 1000.0, "": 1.0, "A": 1.0}
+    for _ in range(40):
+        s = stem
+        for _ in range(rng.randrange(1, 4)):
+            i, kind = rng.randrange(len(s)), rng.choice("isd")
+            s = s[:i] + ("" if kind == "d" else rng.choice("ACGT")) + s[i + (kind != "i") :]
+        rows.setdefault(s, 1.0)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    c = spark.createDataFrame([("s", k, n) for k, n in rows.items()], "sample string, cdr3_nt string, count double")
+    for edits, indels in ((1, True), (2, False), (2, True)):
+        far = distance if indels else (lambda a, b: sum(x != y for x, y in zip(a, b, strict=True)) if len(a) == len(b) else 99)
+        gone = {k for k in rows if k != stem and far(k, stem) <= edits}
+        assert gone
+        want = {k: n for k, n in rows.items() if k not in gone} | {stem: 1000.0 + len(gone)}
+        got = cluster.cluster_errors(c, edits=edits, indels=indels, depth=1).collect()
+        assert {r.cdr3_nt: r["count"] for r in got} == want
+    b = spark.createDataFrame([("ACGTACGT", 9.0), ("ACGACGT", 1.0)], "umi string, weight double")
+    assert {r.umi for r in tags.correct(b, ["umi"], indels=True).collect()} == {"ACGTACGT"}
+
+
 def test_alleles_that_differ_in_a_few_bases(spark):
     ref = "ACGTTGCAAGGCTTAACCGGTATCGATCGTACCATGCATGGTTCAGGACTTACGGATCCA"
     other = dict(zip("ACGT", "CGTA", strict=True))
