@@ -35,7 +35,8 @@ def choose_pivots(vectors: DataFrame, pivots: int) -> dict[int, np.ndarray]:
     """For each vector length, a matrix of at most `pivots` distinct vectors."""
     w = Window.partitionBy("dim", "part").orderBy("h", "vec_id")
     rows = vectors.select(F.size("v").alias("dim"), F.md5(F.col("vec_id").cast("string").cast("binary")).alias("h"), "vec_id", "v").withColumn("part", F.substring("h", -2, 2))
-    first = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= pivots // 16).orderBy("dim", "h", "vec_id").select("dim", "v").limit(256 * (pivots // 16)).collect()
+    # at most 256 * (pivots // 16) rows of each length, of which the first distinct ones by hash are taken
+    first = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= pivots // 16).orderBy("dim", "h", "vec_id").select("dim", "v").collect()
     out: dict[int, dict] = {}
     for r in first:
         own = out.setdefault(r.dim, {})

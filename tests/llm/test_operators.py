@@ -128,6 +128,16 @@ def test_exact_products(spark):
     assert topk_blocks.search_products(df.limit(0)).count() == 0
 
 
+def test_nearest_of_several_lengths(spark):
+    """The first length alone has more candidates for pivots than one limit for all lengths let through."""
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(size=4 if i < 6000 else 8)]) for i in range(6400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = ann_permutation.search_nearest(df).collect()
+    assert {(r.query_id, r["rank"]) for r in got} == {(q, k) for q in range(0, 6400, 100) for k in range(1, 11)}
+    assert all((r.query_id < 6000) == (r.vec_id < 6000) for r in got)
+
+
 def test_nearest(spark, monkeypatch):
     df, m = vectors(spark, 3000, BAD)
     rows = ann_permutation.search_nearest(df).collect()
