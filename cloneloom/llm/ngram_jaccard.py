@@ -117,18 +117,18 @@ def _both(h, borders, celled):
 
 
 def document_sets(docs: DataFrame, celled: bool = True) -> DataFrame:
-    """(doc_id, n, node, cells, cells_up) of every document."""
+    """(doc_id, th, n, node, cells, cells_up) of every document, th being its text's hash."""
 
     def run(batches):
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids, texts = batch.column("doc_id"), batch.column("th")
             for at, k, h, borders in shingle_sets(batch.column("text")):
                 n = np.diff(borders)
                 _, rows, up = _both(h, borders, celled)
                 own, more = (np.bincount(rows[up == u], minlength=k) for u in (0, 1))
-                yield pa.RecordBatch.from_arrays([ids.slice(at, k), *(pa.array(x.astype(np.int64)) for x in (n, node_keys(h, borders), own, more))], names=["doc_id", "n", "node", "cells", "cells_up"])
+                yield pa.RecordBatch.from_arrays([ids.slice(at, k), texts.slice(at, k), *(pa.array(x.astype(np.int64)) for x in (n, node_keys(h, borders), own, more))], names=["doc_id", "th", "n", "node", "cells", "cells_up"])
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n long, node long, cells long, cells_up long")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("th")).mapInArrow(run, "doc_id long, th long, n long, node long, cells long, cells_up long")
 
 
 def packed_cells(docs: DataFrame, shards: int, celled: bool) -> DataFrame:
@@ -351,6 +351,11 @@ def connect(groups: DataFrame, sets: DataFrame) -> DataFrame | None:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of docs (doc_id, text): component_id is the smallest id reachable by links."""
+    return labelled(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def labelled(docs: DataFrame) -> DataFrame:
+    """near_duplicates with th, the text's hash, and label, which linked texts share; null for a text without shingles."""
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -371,11 +376,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known = cut(packed_sets(docs, alive.select("node").distinct().join(nodes, "node").select("doc_id", "node"))).dropDuplicates(["node"])
     labels = connect(groups, known)
     if labels is None:
-        where = nodes.select("node", F.col("doc_id").alias("component"))
+        where = nodes.select("node", F.col("node").alias("label"), F.col("doc_id").alias("component"))
     else:
         named = nodes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         best = named.groupBy("label").agg(F.min("doc_id").alias("component"))
-        where = named.join(best, "label").select("node", "component")
+        where = named.join(best, "label").select("node", "label", "component")
     out = sets.join(where.withColumnRenamed("node", "of_node"), F.col("node") == F.col("of_node"), "left")
     alone = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"), "th", "label")

@@ -36,14 +36,19 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest id."""
-    found = ngram_jaccard.near_duplicates(docs).where("doc_id is not null")
-    one = cut(found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows")))
-    goes = small(one.where("component_id <> doc_id").select(F.col("doc_id").alias("gone")))
-    left = docs.join(goes, F.col("doc_id") == F.col("gone"), "left_anti")
-    again = small(one.where("rows > 1 and component_id = doc_id").select(F.col("doc_id").alias("again")))
-    repeated = left.join(again, F.col("doc_id") == F.col("again"), "left_semi").dropDuplicates(["doc_id"])
-    return left.join(again, F.col("doc_id") == F.col("again"), "left_anti").unionByName(repeated)
+    """One document of each group of near-duplicates stays, the one with the smallest id. Rows that share an id are judged by
+    their texts: of equal or linked ones one stays, others don't count as copies."""
+    found = ngram_jaccard.labelled(docs).where("doc_id is not null")
+    one = cut(found.groupBy("doc_id", "th").agg(F.min("component_id").alias("component_id"), F.min("label").alias("label"), F.count("*").alias("rows")))
+    kept = one.where("component_id = doc_id")
+    linked = kept.where("label is not null").groupBy("doc_id", "label").agg(F.min("th").alias("th"), F.max("th").alias("last")).where("th <> last")
+    other = kept.join(linked.select("doc_id", "label", F.col("th").alias("best")), ["doc_id", "label"]).where("th <> best")
+    goes = small(one.where("component_id <> doc_id").select("doc_id", "th").unionByName(other.select("doc_id", "th")).select(F.col("doc_id").alias("gone"), F.col("th").alias("gone_th")))
+    same = lambda i, t: (F.col("doc_id") == F.col(i)) & (F.xxhash64("text") == F.col(t))
+    left = docs.join(goes, same("gone", "gone_th"), "left_anti")
+    again = small(kept.where("rows > 1").select(F.col("doc_id").alias("again"), F.col("th").alias("again_th")))
+    repeated = left.join(again, same("again", "again_th"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(again, same("again", "again_th"), "left_anti").unionByName(repeated)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

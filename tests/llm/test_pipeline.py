@@ -67,5 +67,18 @@ def test_stages(spark, tmp_path):
     assert all(r.n_tokens == len(lib.encode(text[r.doc_id], add_special_tokens=False).ids) for r in tokens.collect())
 
 
+def test_copies_that_share_an_id(spark, tmp_path):
+    rng = random.Random(3)
+    a, b, c, d = (" ".join(words(rng, 60)) for _ in range(4))
+    near = " ".join(mutated(rng, d.split(" "), 1))
+    rows = [(1, a), (2, a), (2, b), (3, b), (3, c), (3, c), (4, d), (4, near), (5, None), (5, ""), (5, ""), (None, a)]
+    docs = spark.createDataFrame([(i, t, "aa", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    linked = brute([(1, d), (2, near)])[2][1] == 1
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.copies_stage(spark, docs, str(tmp_path)).collect()]
+    want = [(1, a), (2, b), (3, c), (5, None), (5, ""), (None, a)]
+    assert linked and Counter(x for x in got if x[0] != 4) == Counter(want)
+    assert len([x for x in got if x[0] == 4]) == 1
+
+
 def test_words_helper():
     assert len(words(random.Random(1), 3)) == 3
