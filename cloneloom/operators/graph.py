@@ -2,36 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables; a temporary one only in single-process local mode."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if shared:
-        return shared.rstrip("/")
-    master = spark.sparkContext.master
-    if master.startswith("local") and "cluster" not in master:
-        return "file://" + tempfile.mkdtemp(prefix="cloneloom-")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """df written as a shared Parquet table and read back, which cuts the lineage of loops."""
-    path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+from cloneloom.scratch import cut as settle
+from cloneloom.scratch import release
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): each node of edges (a, b) with the smallest node it is connected to.
 
-    Large-star and small-star steps (Kiveris et al., 2014); the rounds grow with the logarithm of the component size."""
+    Large-star and small-star steps (Kiveris et al., 2014); the rounds grow with the logarithm of the component size, so
+    `rounds` are enough for any table; an unsettled result is an error."""
     e = settle(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     last = None
     for _ in range(rounds):
@@ -40,11 +22,14 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         star = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b")))
-        e = settle(star.where("a <> b").distinct())
+        before, e = e, settle(star.where("a <> b").distinct())
+        release(before)
         state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
         if state == last:
             break
         last = state
+    else:
+        raise RuntimeError("components did not settle")
     pairs = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return pairs.unionByName(pairs.select(F.col("component").alias("node"), "component")).distinct()
 
