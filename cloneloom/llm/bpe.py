@@ -1,20 +1,27 @@
 """BPE encoding and decoding of whole texts by a trie of distinct words that shares the work of common prefixes.
 
 A byte-pair encoding is prefix-stable: for each prefix of a word there is exactly one token that can end its encoding, the
-one that is compatible with the last token of what it leaves over. So a node of the trie needs only its last token and
-where that token began, and every word below a node reuses them. Two tokens are compatible if encoding their joined
-symbols by plain merging gives the two back; those results are kept by pair. The last symbol of a word carries the
-end-of-word mark and is an edge of its own.
+one that is compatible with the last token of what it leaves over. So a node of the trie needs only its last token,
+and every word below a node reuses it. Two tokens are compatible if encoding their joined symbols by plain merging gives
+the two back; those results are kept by pair. The last symbol of a word carries the end-of-word mark and has no node.
+
+Distinct words are visited in order, which is depth-first. The trie is a table of its nodes, the prefixes of up to DEPTH
+symbols, with their states; deeper states are held for the word at hand only, so time and memory grow with a word's length,
+not with its square. The trie, the words already encoded and the pairs are bounded by numbers of entries (MAX_NODES,
+CACHE_WORDS, MAX_PAIRS) and emptied when a task ends, for workers serve other stages afterwards.
 
 The tokenizer file (JSON of the public `tokenizers` library) is read by the driver from the path given and sent to the
-executors in the task's closure: its size is that of the vocabulary, whatever the input. Tasks keep no state that matters:
-a lost executor costs its tasks only. Words already encoded stay in a cache of at most CACHE_WORDS entries.
+executors by broadcast: its size is that of the vocabulary, whatever the input. Tasks keep no state that matters: a lost
+executor costs its tasks only.
 
-Defined results: null and empty texts have no tokens and decode to ""; repeated rows are encoded each on their own.
+Defined results: null and empty texts have no tokens and decode to ""; very long texts and words are encoded whole; repeated
+rows are encoded each on their own; null ids and extra columns pass through, but for those named like a result, which
+the result replaces; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import hashlib
 import json
@@ -27,13 +34,12 @@ from pyspark.sql import types as T
 
 from .common import ship
 
-CACHE_WORDS = 400_000
-#: if they have at most this many characters;
-CACHED_LENGTH = 10
-#: and states of prefixes in one of this many.
-MAX_STATES = 700_000
+#: Words and chunks kept, if they have at most so many characters; nodes of the trie; compatible pairs.
+CACHE_WORDS, CACHED_LENGTH = 250_000, 10
+MAX_NODES, DEPTH = 400_000, 24
+MAX_PAIRS = 400_000
 #: Texts are encoded so many, or about so many bytes of them, at a time.
-BATCH_ROWS, BATCH_BYTES = 2048, 8_000_000
+BATCH_ROWS, BATCH_BYTES = 1024, 4_000_000
 #: What the normalizer's \s+ matches; Python's own notion of space has U+001C to U+001F besides.
 SPACE = regex.compile("[\t-\r \x85\xa0  -     　]+")
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
@@ -90,10 +96,15 @@ class TrieBPE:
         self.longest: dict[str, int] = {}
         for w in self.known:
             self.longest[w[-2:]] = max(self.longest.get(w[-2:], 0), len(w))
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty all that grows with the texts."""
         self.pairs: dict[tuple[int, int], bool] = {}
         #: of white-space chunks and of words: ids and tokens, each joined by spaces
         self.cache: dict[str, tuple[str, str]] = {}
         self.encoded: dict[str, tuple[str, str]] = {}
+        #: the trie: each node's last token
         self.state: dict[str, int] = {}
 
     def merge(self, symbols) -> list[int]:
@@ -111,7 +122,7 @@ class TrieBPE:
         inside that would have to have happened by then. Undoes those, latest first, and looks at the new border."""
         known = self.pairs.get((a, b))
         if known is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) >= MAX_PAIRS:
                 self.pairs.clear()
             known = self.pairs[a, b] = self._compatible(a, b)
         return known
@@ -132,33 +143,31 @@ class TrieBPE:
                 limit, b = rb + 1, halves[b][0]
 
     def encode_words(self, words) -> dict[str, list[int]]:
-        """Token ids of each distinct word.
-
-        The trie is held as a table from each prefix to its state, the last token of its encoding. Sorted words visit it
-        depth-first, so a word starts from the deepest prefix known and adds the states of the rest.
-        """
-        state, known, longest, pairs, sizes, ends = self.state, self.known, self.longest, self.pairs, self.sizes, self.ends
-        if len(state) > MAX_STATES:
-            state.clear()
+        """Token ids of each distinct word, the trie's nodes visited depth-first: a word starts from its deepest known node."""
+        if len(self.state) >= MAX_NODES:
+            self.state = {}
+        state, known, longest, pairs, sizes = self.state, self.known, self.longest, self.pairs, self.sizes
+        symbols, ends = self.symbols, self.ends
         out: dict[str, list[int]] = {}
         for w in sorted(words):
-            path = w if w.isalpha() and w.isascii() else "".join([self.symbols[b] for b in w.encode("utf-8", "surrogatepass")])
+            path = w if w.isalpha() and w.isascii() else "".join([symbols[b] for b in w.encode("utf-8", "surrogatepass")])
             size = len(path)
-            at = size - 1
-            while at and path[:at] not in state:
-                at -= 1
-            while at < size:
-                at += 1
-                prefix = path[:at] if at < size else path[:-1] + ends[path[-1]]
-                n = longest.get(prefix[-2:], 1)
+            base = min(size - 1, DEPTH)
+            while base and path[:base] not in state:
+                base -= 1
+            path = path[:-1] + ends[path[-1]]
+            own = []  # the states beyond the node at base
+            for at in range(base + 1, size + 1):
+                n = longest.get(path[at - 2 : at] if at > 1 else path[:1], 1)
                 if n > at:
                     n = at
                 while n > 1:
-                    t = known.get(prefix[at - n :])
+                    t = known.get(path[at - n : at])
                     if t is not None:
                         if n == at:
                             break
-                        before = state[path[: at - n]]
+                        p = at - n
+                        before = own[p - base - 1] if p > base else state[path[:p]]
                         fits = pairs.get((before, t))
                         if fits is None:
                             fits = self.compatible(before, t)
@@ -166,15 +175,14 @@ class TrieBPE:
                             break
                     n -= 1
                 else:
-                    t = known[prefix[-1]]
-                if at < size:
-                    state[prefix] = t
-            tokens = [t]
-            at = size - sizes[t]
+                    t = known[path[at - 1]]
+                own.append(t)
+                if at <= DEPTH and at < size and len(state) < MAX_NODES:
+                    state[path[:at]] = t
+            tokens, at = [], size
             while at:
-                t = state[path[:at]]
-                tokens.append(t)
-                at -= sizes[t]
+                tokens.append(own[at - base - 1] if at > base else state[path[:at]])
+                at -= sizes[tokens[-1]]
             tokens.reverse()
             out[w] = tokens
         return out
@@ -244,6 +252,15 @@ class TrieBPE:
 _LOADED: dict[str, TrieBPE] = {}
 
 
+def _give_back() -> None:
+    """Hand freed memory back to the system, where the C library can."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def _model(spec: str) -> TrieBPE:
     key = hashlib.sha256(spec.encode()).hexdigest()
     if key not in _LOADED:
@@ -264,9 +281,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, text_col: str = "text
     kept = [c for c in docs.columns if c != text_col and c not in names]
     schema = T.StructType([docs.schema[c] for c in kept] + added)
 
-    def run(batches):
-        model = _model(shared.value)
-        gc.disable()  # the tables hold no cycles, and scanning them takes long
+    def encoded(model, batches):
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("_text"))
@@ -280,4 +295,14 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, text_col: str = "text
                     cols.append(pa.array([[int(x) for x in g[0].split()] for g in got], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, names=[*kept, *[f.name for f in added]])
 
+    def run(batches):
+        model = _model(shared.value)
+        gc.disable()  # the tables hold no cycles, and scanning them takes long
+        try:
+            yield from encoded(model, batches)
+        finally:
+            model.forget()
+            gc.enable()
+            _give_back()
+
     return docs.select(*kept, docs[text_col].alias("_text")).mapInArrow(run, schema)

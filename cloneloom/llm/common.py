@@ -2,40 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
-import uuid
-from pathlib import Path
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cloneloom.scratch import cut, release  # noqa: F401
+from cloneloom.shipping import ship  # noqa: F401
+
 #: Words are maximal runs of characters other than these six.
 WORD = r"[^\x20\x09-\x0D]+"
 #: A table of at most this many rows, as counted, may be broadcast.
 BROADCAST_ROWS = 100_000
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for tables that cut lineage: spark.checkpoint.dir, where set; a temporary folder only in
-    single-process local mode; else a folder in the shared warehouse."""
-    conf = spark.sparkContext.getConf()
-    shared = conf.get("spark.checkpoint.dir")
-    if shared:
-        return shared.rstrip("/")
-    if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
-        return "file://" + tempfile.mkdtemp(prefix="cloneloom-")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-
-
-def cut(df: DataFrame, compression: str = "snappy") -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back, so that lost executors cost no recomputation."""
-    path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
-
-
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if it has at most `limit` rows, counted now; else df, for Spark to join by shuffle."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
@@ -65,7 +43,8 @@ def min_labels(edges: DataFrame, rounds: int = 60) -> DataFrame:
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         star = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         star = star.unionByName(down.select("a", F.col("m").alias("b")))
-        e = cut(star.where("a <> b").distinct())
+        last, e = e, cut(star.where("a <> b").distinct())
+        release(last)
         now = e.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
         if now == before:
             return e.select(F.col("a").alias("node"), F.col("b").alias("label"))
@@ -73,53 +52,55 @@ def min_labels(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def link(groups: DataFrame, verify, near, rounds: int = 1) -> DataFrame | None:
-    """(node, label) of the linked nodes of groups (sig, node, own, sketch); None if no two are linked. Of a group's pairs
-    only those count that hold a node of which the group's key is its own: others meet under another key.
+#: Groups of at most this many nodes are compared pair by pair.
+FEW = 256
+
+
+def link(groups: DataFrame, verify, near, refine=None, open_=None) -> DataFrame | None:
+    """(node, label) of the linked nodes of groups (sig, node, own, sketch, ...); None if no two are linked. Of a group's
+    pairs only those count that hold a node of which the group's key is its own: others meet under another key.
 
     In each round every group's nodes are verified against its hub, the largest own node; then the hub, all of whose pairs in
-    the group are settled, leaves, and groups within one component are done. What remains after the rounds is verified
-    pair by pair across components, so every pair of a group is either verified or connected. near(a, b) is a condition
-    on two sketches that every linked pair meets; it is part of the joins, so other pairs are never written out.
-    verify takes distinct pairs (a, b) and returns the linked ones.
+    the group are settled, leaves, and groups within one component or without own nodes are done. Of what remains, groups of
+    at most FEW nodes are verified pair by pair across components, and so are those that can't be refined (open_, a condition
+    on a group's rows); refine gives the others finer groups, in which every linked pair of a group still meets, and they
+    come to the next round. near(a, b) is a condition on two
+    sketches that every linked pair meets; it is part of the joins, so other pairs are never written out. verify takes
+    distinct pairs (a, b) and returns the linked ones.
     """
-    edges, labels = None, None
-    for step in range(rounds + 1):
-        if step < rounds:
-            hubs = groups.groupBy("sig").agg(F.max(F.struct("own", "node", "sketch")).alias("hub"), F.count("*").alias("k")).where("k > 1").select("sig", F.col("hub.node").alias("b"), F.col("hub.sketch").alias("sb"))
-            met = groups.join(hubs, "sig")
-            pairs = met.where(F.col("node") != F.col("b")).where(near(F.col("sketch"), F.col("sb"))).select(F.col("node").alias("a"), "b").distinct()
-        else:
-            met = None
-            x, y = (groups.select("sig", F.col("node").alias(n), F.col("label").alias(f"l{n}"), F.col("own").alias(f"o{n}"), F.col("sketch").alias(f"s{n}")) for n in "ab")
-            pairs = x.join(y, (x["sig"] == y["sig"]) & (F.col("la") < F.col("lb")) & (F.col("oa") | F.col("ob")) & near(F.col("sa"), F.col("sb"))).select("a", "b").distinct()
+    edges, labels, more = None, None, False
+
+    def settled(pairs: DataFrame) -> None:
+        nonlocal edges, more
         found = cut(verify(pairs))
         if found.limit(1).count():
-            edges = found if edges is None else cut(edges.unionByName(found))
-            labels = min_labels(edges)
-        if met is None:
-            return labels
-        rest = met.where(F.col("node") != F.col("b")).select("sig", "node", "own", "sketch")
-        if labels is None:
+            edges, more = found if edges is None else cut(edges.unionByName(found)), True
+
+    def known() -> DataFrame | None:
+        nonlocal labels, more
+        if more:
+            labels, more = min_labels(edges), False
+        return labels
+
+    def across(rows: DataFrame) -> DataFrame:
+        x, y = (rows.select("sig", F.col("node").alias(n), F.col("label").alias(f"l{n}"), F.col("own").alias(f"o{n}"), F.col("sketch").alias(f"s{n}")) for n in "ab")
+        return x.join(y, (x["sig"] == y["sig"]) & (F.col("la") < F.col("lb")) & (F.col("oa") | F.col("ob")) & near(F.col("sa"), F.col("sb"))).select("a", "b").distinct()
+
+    while True:
+        hubs = groups.groupBy("sig").agg(F.max(F.struct("own", "node", "sketch")).alias("hub"), F.count("*").alias("k")).where("k > 1").select("sig", F.col("hub.node").alias("b"), F.col("hub.sketch").alias("sb"))
+        met = groups.join(hubs, "sig").where(F.col("node") != F.col("b"))
+        settled(met.where(near(F.col("sketch"), F.col("sb"))).select(F.col("node").alias("a"), "b").distinct())
+        rest = met.select(*groups.columns)
+        if known() is None:
             rest = rest.withColumn("label", F.col("node"))
         else:
-            rest = rest.join(labels, "node", "left").select("sig", "node", "own", "sketch", F.coalesce("label", "node").alias("label"))
-        mixed = rest.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
-        groups = cut(rest.join(mixed, "sig"))
-        if not groups.limit(1).count():
-            return labels
-    return labels
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package's modules to the executors, for the functions that run in Python there; once a session."""
-    sc = spark.sparkContext
-    if getattr(sc, "_cloneloom_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    path = Path(tempfile.mkdtemp(prefix="cloneloom-code-")) / "cloneloom_code.zip"
-    with zipfile.ZipFile(path, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    sc.addPyFile(str(path))
-    sc._cloneloom_shipped = True
+            rest = rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        mixed = rest.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("own").alias("any"), F.count("*").alias("k")).where("lo <> hi and any").select("sig", "k")
+        left = cut(rest.join(mixed, "sig").select(*groups.columns, "label", "k"))
+        fine = F.lit(False) if refine is None else (F.col("k") > FEW) & open_
+        n, coarse = left.agg(F.count("*"), F.sum(fine.cast("int"))).first()
+        if n > (coarse or 0):
+            settled(across(left.where(~fine)))
+        if not coarse:
+            return known()
+        groups = cut(refine(left.where(fine).select(*groups.columns)))

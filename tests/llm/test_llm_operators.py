@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cloneloom.llm import ann_permutation, bpe, langid, line_dedup, mixing, pii, topk_blocks, toxicity, url_filter
+from cloneloom.llm import ann_permutation, bpe, common, langid, line_dedup, mixing, pii, topk_blocks, toxicity, url_filter
 from cloneloom.llm.common import min_labels
 from cloneloom.llm.queries import URL_RULES
 
@@ -36,6 +36,16 @@ def test_encoding_equals_the_library(spark):
     assert bpe.encode_documents(docs.limit(0), TOKENIZER).count() == 0
 
 
+def test_very_long_words_and_texts(spark):
+    """Time and memory that grew with the square of a word's length would not end here."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("thinganererreonat") for _ in range(1_000_000)), "the cat's " * 100_000, "é" * 100_000]
+    lib = tokenizers.Tokenizer.from_file(TOKENIZER)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in bpe.encode_documents(docs, TOKENIZER, ids=True).collect():
+        assert r.ids == lib.encode(texts[r.doc_id], add_special_tokens=False).ids
+
+
 def test_compatible_pairs_are_those_that_merging_leaves():
     m = bpe.TrieBPE(open(TOKENIZER, encoding="utf-8").read())
     rng = random.Random(2)
@@ -358,6 +368,60 @@ def test_short_lines(spark):
     assert got[1] == got[3] == got[5] == [0] and got[7] == [] and got[9] == []
 
 
+def test_finer_groups_keep_linked_pairs(spark):
+    """Unlike lines with a common beginning, end or middle, numbered lines, and copies of some with one or two edits."""
+    rng = random.Random(23)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    stem, end = word(30) + "x", "x" + word(30)
+    lines = [stem + word(rng.randrange(12, 40)) for _ in range(12)] + [word(25) + end for _ in range(10)] + [word(15) + stem + "é" + word(15) for _ in range(10)]
+    lines += [f"{stem}{end} {n:04}" for n in rng.sample(range(10000), 15)]
+    for s in rng.sample(lines, 30):
+        for _ in range(rng.choice((1, 2, 2))):
+            i = rng.randrange(len(s))
+            kind = rng.choice("isd")
+            s = s[:i] + ("" if kind == "d" else rng.choice("ab1")) + s[i + (kind != "i") :]
+        lines.append(s)
+    lines = list(dict.fromkeys(lines))
+    linked = {(i, j) for j, b in enumerate(lines) for i, a in enumerate(lines[:j]) if abs(len(a) - len(b)) <= 2 and edits(a, b) <= 2}
+    texts = common.cut(spark.createDataFrame(list(enumerate(lines)), "node long, line string").select("node", "line", F.length("line").alias("n"), (F.length("line") == F.octet_length("line")).alias("ascii")))
+    groups = line_dedup.line_rows(texts, 2).select(F.col("key").alias("sig"), "node", "own", F.lit(None).cast("array<int>").alias("sketch"), F.lit(0).alias("place"), F.lit(None).cast("int").alias("long"), F.lit(None).cast("string").alias("rest"))
+    sizes = []
+    for level in range(3):
+        groups = common.cut(groups)
+        by = {}
+        for r in groups.select("sig", "node", "own").collect():
+            by.setdefault(r.sig, {}).setdefault(r.node, set()).add(r.own)
+        met = {(i, j) for g in by.values() for i in g for j in g if i < j and (True in g[i] or True in g[j])}
+        assert linked <= met, level
+        sizes.append(len(met))
+        groups = groups.where("place is null").unionByName(line_dedup.finer(groups.where("place is not null"), texts, 2))
+    assert len(linked) > 10 and sizes[2] < sizes[1] < sizes[0]
+
+
+def test_neighbourhood_keys(spark):
+    """Two strings share a key that one owns if, and owned keys only if, they are within tau edits of the owner."""
+    rng = random.Random(29)
+    strings = list(dict.fromkeys("".join(rng.choice("ab") for _ in range(rng.randrange(7))) for _ in range(150)))
+    df = spark.createDataFrame([(s,) for s in strings], "s string")
+    for tau in (0, 1, 2):
+        keys = {r.s: {k.key: any(x.own for x in r.k if x.key == k.key) for k in r.k} for r in df.select("s", line_dedup.near_keys(F.col("s"), tau).alias("k")).collect()}
+        for a in strings:
+            for b in strings:
+                if a < b:
+                    both = keys[a].keys() & keys[b].keys()
+                    assert any(keys[a][k] or keys[b][k] for k in both) == (edits(a, b) <= tau), (a, b, tau)
+
+
+def test_very_long_lines(spark):
+    rng = random.Random(31)
+    a = "".join(rng.choice("abcdefgh ") for _ in range(200_000))
+    rows = [(1, a), (2, a[:100_000] + "Z" + a[100_001:]), (3, a[:50] + "ZZZ" + a[50:]), (4, "\n".join(map(str, range(20_000))) + "\n" + "\n".join(map(str, range(20_000))))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
+    assert [len(got[i].dropped) for i in (1, 2, 3, 4)] == [0, 1, 0, 20_000]
+    assert got[4].text == "\n".join(map(str, range(20_000)))
+
+
 def test_automaton_equals_edit_distance(spark):
     rng = random.Random(8)
     pairs = []
