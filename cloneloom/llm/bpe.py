@@ -21,7 +21,6 @@ the result replaces; an empty table gives no rows.
 
 from __future__ import annotations
 
-import ctypes
 import gc
 import hashlib
 import json
@@ -32,14 +31,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import ship
+from .common import ship, tidy
 
 #: Words and chunks kept, if they have at most so many characters; nodes of the trie; compatible pairs.
-CACHE_WORDS, CACHED_LENGTH = 250_000, 10
-MAX_NODES, DEPTH = 400_000, 24
-MAX_PAIRS = 400_000
+CACHE_WORDS, CACHED_LENGTH = 120_000, 10
+MAX_NODES, DEPTH = 150_000, 24
+MAX_PAIRS = 120_000
 #: Texts are encoded so many, or about so many bytes of them, at a time.
-BATCH_ROWS, BATCH_BYTES = 1024, 4_000_000
+BATCH_ROWS, BATCH_BYTES = 512, 2_000_000
 #: What the normalizer's \s+ matches; Python's own notion of space has U+001C to U+001F besides.
 SPACE = regex.compile("[\t-\r \x85\xa0  -     　]+")
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
@@ -252,15 +251,6 @@ class TrieBPE:
 _LOADED: dict[str, TrieBPE] = {}
 
 
-def _give_back() -> None:
-    """Hand freed memory back to the system, where the C library can."""
-    gc.collect()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):
-        pass
-
-
 def _model(spec: str) -> TrieBPE:
     key = hashlib.sha256(spec.encode()).hexdigest()
     if key not in _LOADED:
@@ -303,6 +293,5 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, text_col: str = "text
         finally:
             model.forget()
             gc.enable()
-            _give_back()
 
-    return docs.select(*kept, docs[text_col].alias("_text")).mapInArrow(run, schema)
+    return docs.select(*kept, docs[text_col].alias("_text")).mapInArrow(tidy(run), schema)

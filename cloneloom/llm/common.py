@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +27,28 @@ def fold(doc_id: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)), F.lit(1))
 
 
+def give_back() -> None:
+    """Hand freed memory of this Python process back to the system, where the C library can."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def tidy(run):
+    """run, a function over batches, such that what its task freed is given back at its end: workers live on, beside those
+    of other stages."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def min_labels(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): (node, label), label being the component's smallest node.
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import texts as tx
-from .common import fold, ship
+from .common import fold, give_back, ship, tidy
 
 BITS, ORDERS = 16, 3
 SAMPLE_PER_CLASS = 1500
@@ -73,7 +73,7 @@ def document_frequencies(learn: DataFrame) -> tuple[np.ndarray, int]:
             n += k.as_py()
         return pa.table({"slot": pa.array([key[0].as_py()], pa.int32()), "df": pa.array([df.tobytes()], pa.binary()), "n": pa.array([n], pa.int64())})
 
-    rows = learn.select("text").mapInArrow(count, "slot int, df binary, n long").groupBy("slot").applyInArrow(add, "slot int, df binary, n long").collect()
+    rows = learn.select("text").mapInArrow(tidy(count), "slot int, df binary, n long").groupBy("slot").applyInArrow(add, "slot int, df binary, n long").collect()
     df, n = np.zeros((SLOTS, width), np.int64), 0
     for r in rows:  # SLOTS rows
         df[r.slot], n = np.frombuffer(r.df, np.int64), r.n
@@ -150,7 +150,10 @@ def fit(learn: DataFrame) -> dict | None:
     weights = train_ftrl([x for x, k in zip(rows, own, strict=True) if k], labels[own], len(langs))
     logits = np.array([x @ weights[ids] + weights[-1] for ids, x in rows]).reshape(len(rows), len(langs))
     t = temperature(logits[~own], labels[~own])
-    return {"langs": langs, "v": (weights[:-1] * idf[:, None] * SCALE / t).astype(np.float32), "b": weights[-1] / t}
+    model = {"langs": langs, "v": (weights[:-1] * idf[:, None] * SCALE / t).astype(np.float32), "b": weights[-1] / t}
+    del sample, rows, logits, weights
+    give_back()  # the driver goes on to other stages
+    return model
 
 
 def predict(docs: DataFrame, model: dict | None, text_col: str = "text") -> DataFrame:
@@ -182,7 +185,7 @@ def predict(docs: DataFrame, model: dict | None, text_col: str = "text") -> Data
             yield pa.RecordBatch.from_arrays([*cols, pa.array(best, pa.string()), pa.array(score, pa.float64())], names=[*kept, "lang_pred", "score"])
 
     schema = docs.select(*kept, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).mapInArrow(tidy(run), schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:

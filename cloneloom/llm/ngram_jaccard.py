@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import texts as tx
-from .common import cut, min_labels, ship, small
+from .common import cut, min_labels, ship, small, tidy
 
 WORDS = 5
 #: Cells of a band, as a share of its upper size; bands of sizes under SMALL are one, each hash a cell of its own.
@@ -128,7 +128,7 @@ def document_sets(docs: DataFrame, celled: bool = True) -> DataFrame:
                 own, more = (np.bincount(rows[up == u], minlength=k) for u in (0, 1))
                 yield pa.RecordBatch.from_arrays([ids.slice(at, k), texts.slice(at, k), *(pa.array(x.astype(np.int64)) for x in (n, node_keys(h, borders), own, more))], names=["doc_id", "th", "n", "node", "cells", "cells_up"])
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("th")).mapInArrow(run, "doc_id long, th long, n long, node long, cells long, cells_up long")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("th")).mapInArrow(tidy(run), "doc_id long, th long, n long, node long, cells long, cells_up long")
 
 
 def packed_cells(docs: DataFrame, shards: int, celled: bool) -> DataFrame:
@@ -165,7 +165,7 @@ def packed_cells(docs: DataFrame, shards: int, celled: bool) -> DataFrame:
         if size:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "shard int, sigs binary, nodes binary")
+    return docs.select("text").mapInArrow(tidy(run), "shard int, sigs binary, nodes binary")
 
 
 def shared_cells(packed: DataFrame) -> DataFrame:
@@ -216,7 +216,7 @@ def rare_cells(entries: DataFrame) -> DataFrame:
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[0]).view(np.int64)), pa.array(np.concatenate(out[1])), pa.array(np.concatenate(out[2]))], names=["sig", "node", "share"])
 
-    return entries.select("node", "n", "own", "shared", "sigs", "counts").mapInArrow(run, "sig long, node long, share double")
+    return entries.select("node", "n", "own", "shared", "sigs", "counts").mapInArrow(tidy(run), "sig long, node long, share double")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -242,7 +242,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     b.append(k)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(tidy(run), "a long, b long")
 
 
 def packed_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -256,7 +256,7 @@ def packed_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(want[at + ok]), pa.array([h[borders[r] : borders[r + 1]].tobytes() for r in ok], pa.binary())], names=["node", "shingles"])
 
     rows = docs.select("doc_id", "text").where("text is not null").join(small(wanted), "doc_id")
-    return rows.mapInArrow(run, "node long, shingles binary")
+    return rows.mapInArrow(tidy(run), "node long, shingles binary")
 
 
 def block_links(sets: list[np.ndarray], side: np.ndarray, labels: np.ndarray) -> list[tuple[int, int]]:
@@ -326,7 +326,7 @@ def family_links(members: DataFrame, sets: DataFrame) -> DataFrame:
         if held:
             yield links(held)
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(tidy(run), "a long, b long")
 
 
 def connect(groups: DataFrame, sets: DataFrame) -> DataFrame | None:

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 #: So many bytes of text are taken at a time; one longer text makes a slice of its own.
-SLICE_BYTES = 1_500_000
+SLICE_BYTES = 750_000
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: dict[str, np.ndarray] = {}

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import texts as tx
-from .common import fold, ship
+from .common import fold, ship, tidy
 
 BITS = 18
 PREFIXES = (4, 5)
@@ -101,7 +101,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] | None:
                     got[at + i] = ids[cut[i] : cut[i + 1]]
             yield pa.RecordBatch.from_arrays([b.column("positive"), pa.array([x.astype(np.int32).tobytes() for x in got], pa.binary())], names=["positive", "ids"])
 
-    rows = sample.mapInArrow(run, "positive boolean, ids binary").collect()
+    rows = sample.mapInArrow(tidy(run), "positive boolean, ids binary").collect()
     sets = {k: [np.frombuffer(r.ids, np.int32).astype(np.int64) for r in sorted((r for r in rows if r.positive is k), key=lambda r: bytes(r.ids))] for k in (True, False)}
     if not sets[True] or not sets[False]:
         return None
@@ -127,7 +127,7 @@ def score(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*cols, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*kept, "score", "predicted"])
 
     schema = docs.select(*kept, F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema
-    return docs.select(*kept, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*kept, F.col(text_col).alias("_text")).mapInArrow(tidy(run), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
