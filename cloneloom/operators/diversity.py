@@ -17,18 +17,17 @@ EFRON_THISTED_DEPTH = 20
 
 
 def _efron_thisted() -> Column:
-    """Observed plus the alternating series, cut at the last depth at which its relative error is below 0.05."""
+    """Observed plus the alternating series at the first depth at which its standard error is 0.05 of it or more, or at the
+    last depth. At a depth, keys of weight k count (-1)**(k + 1) * C(depth, k) times."""
     steps = []
     for depth in range(1, EFRON_THISTED_DEPTH + 1):
-        # h_k: signed upper tail of Binomial(depth, 1/2) from k on
-        tail = {k: sum(comb(depth, i) for i in range(k, depth + 1)) / 2**depth for k in range(1, depth + 1)}
-        h = {k: (-1) ** (k + 1) * t for k, t in tail.items()}
+        h = {k: float((-1) ** (k + 1) * comb(depth, k)) for k in range(1, depth + 1)}
         est = F.col("observed") + sum((F.col(f"f{k}") * h[k] for k in h), F.lit(0.0))
         var = sum((F.col(f"f{k}") * (h[k] * h[k]) for k in h), F.lit(0.0))
         steps.append(F.struct(est.alias("est"), F.sqrt(var).alias("sd")))
-    bad = F.array_position(F.transform(F.array(*steps), lambda s: s["sd"] >= 0.05 * s["est"]), True)
-    upto = F.when(bad == 0, F.lit(EFRON_THISTED_DEPTH)).otherwise((bad - 1).cast("int"))
-    return F.get(F.transform(F.array(*steps), lambda s: s["est"]), upto - 1)
+    stop = lambda s: ((s["est"] > 0) & (s["sd"] >= 0.05 * s["est"])) | ((s["est"] == 0) & (s["sd"] > 0))
+    first = F.get(F.filter(F.array(*steps), stop), F.lit(0))
+    return F.coalesce(first["est"], steps[-1]["est"])
 
 
 def diversity(df: DataFrame, by: Sequence[str] = ("sample",), weight: str = "weight") -> DataFrame:

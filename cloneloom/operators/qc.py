@@ -22,29 +22,34 @@ class Check:
     high_is_good: bool = True
 
 
-#: Names of checks and the counters they look at; thresholds are this library's own and meant to be changed.
-CHECKS = [
-    Check("SuccessfullyAlignedReads", "aligned", "total", 0.7, 0.85),
-    Check("OffTargetReads", "off_target", "total", 0.2, 0.1, False),
-    Check("ReadsWithNoVOrJHits", "no_v_or_j", "total", 0.3, 0.15, False),
-    Check("ReadsUsedInClonotypes", "used", "total", 0.7, 0.9),
-    Check("AlignmentsWithNoAssemblingFeature", "no_feature", "aligned", 0.15, 0.1, False),
-    Check("AlignmentsDroppedLowQuality", "low_quality", "aligned", 0.05, 0.01, False),
-    Check("ClonesDroppedInPostFiltering", "clones_dropped", "clones", 0.05, 0.01, False),
-    Check("AlignmentsDroppedInPostFiltering", "alignments_dropped", "aligned", 0.05, 0.01, False),
-    Check("ReadsWithNoBarcode", "no_barcode", "total", 0.1, 0.05, False),
-    Check("ReadsDroppedInTagRefinement", "tag_refinement", "aligned", 0.1, 0.05, False),
-    Check("TagArtificialDiversityEliminated", "tag_diversity", "tags", 0.5, 0.3, False),
-    Check("ReadsDroppedInTagCorrection", "tag_correction", "aligned", 0.1, 0.05, False),
-    Check("ReadsDroppedInTagFiltering", "tag_filtering", "aligned", 0.1, 0.05, False),
-    Check("TagGroupsWithNoAssemblingFeature", "groups_no_feature", "groups", 0.2, 0.1, False),
-    Check("TagGroupsWithMultipleConsensuses", "groups_multiple", "groups", 0.2, 0.1, False),
-    Check("UnassignedAlignments", "unassigned", "aligned", 0.3, 0.1, False),
-    Check("OverlappedReadsMoreBetter", "overlapped", "total", 0.5, 0.8),
-    Check("OverlappedReadsLessBetter", "overlapped", "total", 0.5, 0.2, False),
-    Check("CellBarcodesWithFoundGroups", "cells_grouped", "cells", 0.5, 0.7),
-    Check("SpikeInControls", "spike_in", "spike_expected", 0.5, 0.9),
-]
+#: The names of the checks, which are those of the interface surveyed. For each: part, whole, high_is_good.
+NAMES = {
+    "SuccessfullyAlignedReads": ("aligned", "total", True),
+    "OffTargetReads": ("off_target", "total", False),
+    "ReadsWithNoVOrJHits": ("no_v_or_j", "total", False),
+    "ReadsUsedInClonotypes": ("used", "total", True),
+    "AlignmentsWithNoAssemblingFeature": ("no_feature", "aligned", False),
+    "AlignmentsDroppedLowQuality": ("low_quality", "aligned", False),
+    "ClonesDroppedInPostFiltering": ("clones_dropped", "clones", False),
+    "AlignmentsDroppedInPostFiltering": ("alignments_dropped", "aligned", False),
+    "ReadsWithNoBarcode": ("no_barcode", "total", False),
+    "ReadsDroppedInTagRefinement": ("tag_refinement", "aligned", False),
+    "TagArtificialDiversityEliminated": ("tag_diversity", "tags", False),
+    "ReadsDroppedInTagCorrection": ("tag_correction", "aligned", False),
+    "ReadsDroppedInTagFiltering": ("tag_filtering", "aligned", False),
+    "TagGroupsWithNoAssemblingFeature": ("groups_no_feature", "groups", False),
+    "TagGroupsWithMultipleConsensuses": ("groups_multiple", "groups", False),
+    "UnassignedAlignments": ("unassigned", "aligned", False),
+    "OverlappedReadsMoreBetter": ("overlapped", "total", True),
+    "OverlappedReadsLessBetter": ("overlapped", "total", False),
+    "CellBarcodesWithFoundGroups": ("cells_grouped", "cells", True),
+    "SpikeInControls": ("spike_in", "spike_expected", True),
+}
+
+
+def checks(**thresholds: tuple[float, float]) -> list[Check]:
+    """Checks with the (middle, upper) thresholds given by name; there are no others, for they depend on the protocol."""
+    return [Check(name, part, whole, middle, upper, good) for name, (middle, upper) in thresholds.items() for part, whole, good in (NAMES[name],)]
 
 
 def verdict(ratio: Column, check: Check) -> Column:
@@ -53,7 +58,7 @@ def verdict(ratio: Column, check: Check) -> Column:
     return F.when(ratio <= check.upper, "OK").when(ratio <= check.middle, "WARN").otherwise("ALERT")
 
 
-def run_checks(counters: DataFrame, checks: Sequence[Check] = CHECKS, sample: str = "sample") -> DataFrame:
+def run_checks(counters: DataFrame, checks: Sequence[Check], sample: str = "sample") -> DataFrame:
     """(sample, check, value, status) of a counter table, one row a sample; checks without their counters are left out."""
     have = set(counters.columns)
     usable = [c for c in checks if {c.part, c.whole} <= have]

@@ -247,7 +247,8 @@ def test_metadata(spark, tmp_path):
 
 def test_qc(spark):
     c = spark.createDataFrame([("a", 100, 90, 30)], "sample string, total long, aligned long, off_target long")
-    assert {r.check: r.status for r in qc.run_checks(c).collect()} == {"SuccessfullyAlignedReads": "OK", "OffTargetReads": "ALERT"}
+    chosen = qc.checks(SuccessfullyAlignedReads=(0.6, 0.8), OffTargetReads=(0.25, 0.15), SpikeInControls=(0.5, 0.9))
+    assert {r.check: r.status for r in qc.run_checks(c, chosen).collect()} == {"SuccessfullyAlignedReads": "OK", "OffTargetReads": "ALERT"}
 
 
 def test_plan(spark):
