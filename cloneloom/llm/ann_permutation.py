@@ -6,8 +6,8 @@ prefix and adds up how far apart the positions are (Spearman's footrule, a missi
 the KEEP nearest share of the segment by footrule is reranked by Euclidean distance on the original vectors.
 
 Every row is indexed; only the pivots are a bounded sample: the PIVOTS first distinct vectors by the hash of their id.
-On uniform 64-dimensional data, the worst case, these parameters give a recall over 0.95 (tests/llm measure it against
-brute force). Queries travel to every segment in chunks; a task holds one segment and one chunk.
+On the given 64-dimensional table of 2000 vectors these parameters gave a recall of 0.925 over 20 queries; tests/llm measure
+it against brute force on normal data of 16 dimensions. Queries travel to every segment in chunks; a task holds one segment and one chunk.
 
 Defined results: unusable vectors (null, empty, zero, null or non-finite components) take no part; vectors of another
 length than the query's are no candidates; rows that share an id count once, with the smallest vector; equal distances go

@@ -5,11 +5,12 @@ classifier on hashed words and word beginnings (whether one occurs) is trained i
 prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)): where the second part falls below zero, its gradient is turned round.
 The prior is the share of confirmed toxic texts among the labelled ones that may be learned from.
 
-Only the fit is on bounded samples, POSITIVES and UNLABELLED texts, those first by the hash of their id; every text is
-scored whole. Labels, language, source and id are no inputs of a score.
+Only the fit is on bounded samples, POSITIVES and UNLABELLED texts, those first by the hash of their id, of rows that share
+an id the one with the smallest text; every text is scored whole. Labels, language, source and id are no inputs of a score.
 
 Defined results: null and empty texts get the score of a text without words; without confirmed examples all scores are 0;
-a document labelled more than once is toxic if one label says so; repeated rows are scored each on their own.
+a document labelled more than once is toxic if one label says so; repeated rows are scored each on their own, very long texts
+in one piece; other columns of either table are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -86,11 +87,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] | None:
         return None
     prior = min(0.5, max(0.01, toxic / n))
     h = F.xxhash64(F.col("doc_id"), F.lit(11))
-    first = lambda df, k: df.select("doc_id", h.alias("h")).orderBy("h", "doc_id").limit(k).select("doc_id")
+    first = lambda df, k: df.select("doc_id", h.alias("h")).distinct().orderBy("h", "doc_id").limit(k).select("doc_id")
     pos = first(known.where("toxic = 1"), POSITIVES).withColumn("positive", F.lit(True))
     unl = first(docs.where("doc_id is not null").where(fold() != 0), UNLABELLED).withColumn("positive", F.lit(False))
     chosen = F.broadcast(pos.unionByName(unl))  # at most POSITIVES + UNLABELLED ids
-    sample = docs.select("doc_id", "text").where("text is not null").join(chosen, "doc_id").select("positive", "text")
+    sample = docs.select("doc_id", "text").where("text is not null").join(chosen, "doc_id").groupBy("doc_id", "positive").agg(F.min("text").alias("text")).select("positive", "text")
 
     def run(batches):
         for b in batches:

@@ -216,6 +216,16 @@ def test_toxicity(spark):
 
 # personal data
 
+def test_repeated_ids_count_once_in_the_fit(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, f"word{i % 7}") for i in range(400)] + [(i, "other words") for i in range(2, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(1, 60)] * 2, "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "nnpu", lambda pos, unl, prior: seen.append((len(pos), len(unl))) or (np.zeros(1 << toxicity.BITS), 0.0))
+    toxicity.fit(docs, labels)
+    learn = [r.doc_id for r in docs.distinct().select("doc_id").distinct().where(common.fold() != 0).collect()]
+    assert seen == [(sum(i % 3 == 0 for i in learn), len(learn))]
+
+
 def base(t):
     def luhn(s):
         x = [int(c) for c in s][::-1]
