@@ -38,7 +38,7 @@ CACHE_WORDS, CACHED_LENGTH = 120_000, 10
 MAX_NODES, DEPTH = 150_000, 24
 MAX_PAIRS = 120_000
 #: Texts are encoded so many, or about so many bytes of them, at a time.
-BATCH_ROWS, BATCH_BYTES = 512, 2_000_000
+BATCH_ROWS, BATCH_BYTES = 256, 1_000_000
 #: What the normalizer's \s+ matches; Python's own notion of space has U+001C to U+001F besides.
 SPACE = regex.compile("[\t-\r \x85\xa0  -     　]+")
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
@@ -58,20 +58,19 @@ class TrieBPE:
     def __init__(self, spec: str):
         j = json.loads(spec)
         model = j["model"]
-        self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"] or ""
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        ids = self.vocab
+        ids: dict[str, int] = model["vocab"]
         self.merges = {(ids[a], ids[b]): (r, ids[a + b]) for r, (a, b) in enumerate(merges)}
         self.special = {t["content"]: t["id"] for t in j["added_tokens"]}
-        self.token = {i: t for t, i in ids.items()} | {i: t for t, i in self.special.items()}
+        #: each token by its id as text
+        self.token = {str(i): t for t, i in ids.items()} | {str(i): t for t, i in self.special.items()}
         split = next(p for p in j["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         self.words = regex.compile(split)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.symbols = byte_symbols()
-        #: symbols of each token that merging can make, and the tokens by their last symbol and length
+        #: symbols of each token that merging can make
         self.parts: dict[int, tuple[int, ...]] = {}
-        self.by_parts: dict[tuple[int, ...], int] = {}
         for s in {s for b in self.symbols for s in (b, b + self.suffix)}:
             if s in ids:
                 self.parts[ids[s]] = (ids[s],)
@@ -84,13 +83,10 @@ class TrieBPE:
             left, right = self.parts.get(ids[a]), self.parts.get(ids[b])
             if left and right:
                 self.parts.setdefault(ids[a + b], left + right)
-        for t, p in self.parts.items():
-            if len(p) == 1 or self.merge(p) == [t]:
-                self.by_parts[p] = t
-        #: the same tokens as strings of one character a symbol, and the longest by its last two characters
+        #: the same tokens, if merging makes them, as strings of one character a symbol, and the longest by its last two characters
         self.char = {ids[x]: x for x in self.symbols} | {ids[x + self.suffix]: chr(0xE000 + i) for i, x in enumerate(self.symbols)}
         self.ends = dict(zip(self.symbols, map(chr, range(0xE000, 0xE100)), strict=True))
-        self.known = {"".join([self.char[x] for x in p]): t for p, t in self.by_parts.items()}
+        self.known = {"".join([self.char[x] for x in p]): t for t, p in self.parts.items() if len(p) == 1 or self.merge(p) == [t]}
         self.sizes = {t: len(p) for t, p in self.parts.items()}
         self.longest: dict[str, int] = {}
         for w in self.known:
@@ -99,10 +95,11 @@ class TrieBPE:
 
     def forget(self) -> None:
         """Empty all that grows with the texts."""
-        self.pairs: dict[tuple[int, int], bool] = {}
-        #: of white-space chunks and of words: ids and tokens, each joined by spaces
-        self.cache: dict[str, tuple[str, str]] = {}
-        self.encoded: dict[str, tuple[str, str]] = {}
+        #: whether two tokens are compatible, by both ids in one number
+        self.pairs: dict[int, bool] = {}
+        #: ids of white-space chunks and of words, joined by spaces
+        self.cache: dict[str, str] = {}
+        self.encoded: dict[str, str] = {}
         #: the trie: each node's last token
         self.state: dict[str, int] = {}
 
@@ -119,11 +116,11 @@ class TrieBPE:
     def compatible(self, a: int, b: int) -> bool:
         """Whether plain merging of a's and b's symbols gives a, b: no merge across the border comes before the merges
         inside that would have to have happened by then. Undoes those, latest first, and looks at the new border."""
-        known = self.pairs.get((a, b))
+        known = self.pairs.get(a << 32 | b)
         if known is None:
             if len(self.pairs) >= MAX_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self._compatible(a, b)
+            known = self.pairs[a << 32 | b] = self._compatible(a, b)
         return known
 
     def _compatible(self, a: int, b: int) -> bool:
@@ -167,7 +164,7 @@ class TrieBPE:
                             break
                         p = at - n
                         before = own[p - base - 1] if p > base else state[path[:p]]
-                        fits = pairs.get((before, t))
+                        fits = pairs.get(before << 32 | t)
                         if fits is None:
                             fits = self.compatible(before, t)
                         if fits:
@@ -204,7 +201,7 @@ class TrieBPE:
         return [c for part in self.specials.split(text) for c in ([part] if part in self.special else cut(part))]
 
     def learn(self, chunks) -> None:
-        """Put unseen chunks into the cache: their ids and tokens, each joined by spaces."""
+        """Put unseen chunks into the cache: their ids, joined by spaces."""
         special, normal, words = self.special, self.normal, self.words.findall
         fresh = {}
         for c in chunks:
@@ -212,36 +209,34 @@ class TrieBPE:
             fresh[c] = [w] if w.isalpha() and w.isascii() else [] if c in special else words(w)
         if len(self.encoded) > CACHE_WORDS:
             self.encoded.clear()
-        cache, encoded, token = self.cache, self.encoded, self.token
+        cache, encoded = self.cache, self.encoded
         ids = self.encode_words({w for ws in fresh.values() for w in ws if w not in encoded})
         for w, got in ids.items():
-            ids[w] = known = (" ".join(map(str, got)), " ".join([token[i] for i in got]))
+            ids[w] = known = " ".join(map(str, got))
             if len(w) <= CACHED_LENGTH:
                 encoded[w] = known
         for c, ws in fresh.items():
             if len(ws) == 1:
                 cache[c] = encoded.get(ws[0]) or ids[ws[0]]
             elif c in special:
-                cache[c] = (str(special[c]), c)
+                cache[c] = str(special[c])
             else:
-                got = [encoded.get(w) or ids[w] for w in ws]
-                cache[c] = (" ".join([g[0] for g in got]), " ".join([g[1] for g in got]))
+                cache[c] = " ".join([encoded.get(w) or ids[w] for w in ws])
 
     def encode_batch(self, texts) -> list[tuple[str, int, str]]:
         """(ids joined by spaces, their number, decoded text) of each text."""
         cut = [self.chunks(t or "") for t in texts]
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
-        cache = self.cache
+        cache, token = self.cache, self.token.__getitem__
         fresh = set().union(*cut).difference(cache)
         self.learn(fresh)
         out = []
         for chunks in cut:
-            ids, tokens = zip(*map(cache.__getitem__, chunks)) if chunks else ((), ())
-            if "" in ids:
-                ids, tokens = filter(None, ids), filter(None, tokens)
-            joined = " ".join(ids)
-            out.append((joined, joined.count(" ") + 1 if joined else 0, " ".join(tokens)))
+            ids = list(map(cache.__getitem__, chunks))
+            joined = " ".join(filter(None, ids) if "" in ids else ids)
+            each = joined.split()
+            out.append((joined, len(each), " ".join(map(token, each))))
         for c in fresh:  # long words seldom come again
             if len(c) > CACHED_LENGTH:
                 del cache[c]
