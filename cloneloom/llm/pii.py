@@ -17,9 +17,10 @@ written with possessive quantifiers and with \\G or a look-behind at the start,
 without deep recursion or restarts inside long runs.
 
 Texts are read once, into a narrow table of spans and instances. Patterns are aggregated with partial sums, so a word
-beside a third of all identifiers is no hot task.
+beside a third of all identifiers is no hot task. Seeds and instances of one text meet in a window over its identifiers.
 
-Defined results: null and empty texts have no spans; repeated rows are judged each on their own; positions are code points, the end exclusive.
+Defined results: null and empty texts have no spans; repeated rows are judged each on their own; extra columns are
+left out; very long texts are read whole, in time about linear in their length and identifiers; positions are code points, the end exclusive.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import cut, small
 
@@ -55,6 +57,22 @@ WS = r"\x20\x09-\x0D"
 MANY = "|".join(LOOSE.values())
 TOKEN = rf"(?<![^{WS}])(?:[\"'(<:;,]*(?i:{MANY})(?=[\"')>:;,.!?]*+(?:[{WS}]|$))|[^{WS}0-9@]*+[0-9@][^{WS}]*+)"
 CONFIDENCE, SUPPORT = 0.8, 5
+CHUNK = 256
+
+
+def _scan(items: Column, zero: dict[str, Column], step) -> Column:
+    """The array `out` that step appends to as it goes through items, from zero on. It grows in pieces of CHUNK, for an
+    array is copied with each element that is appended to it."""
+    of = lambda a: F.transform(F.sequence(F.lit(0), ((F.greatest(F.size(a), F.lit(1)) - 1) / CHUNK).cast("int")), lambda i: F.slice(a, i * CHUNK + 1, F.lit(CHUNK)))
+    pieces = F.transform(F.array(items), of)[0]
+
+    def piece(acc, one):
+        last = F.element_at(acc, F.lit(-1))
+        begun = F.struct(*[(zero[n] if n == "out" else last[n]).alias(n) for n in zero])
+        return F.concat(acc, F.array(F.aggregate(one, begun, step)))
+
+    done = F.aggregate(pieces, F.array(F.struct(*[c.alias(n) for n, c in zero.items()])), piece)
+    return F.flatten(F.transform(done, lambda d: d["out"]))
 
 
 def _spans(text: Column, form: str, words: bool = False) -> Column:
@@ -62,10 +80,8 @@ def _spans(text: Column, form: str, words: bool = False) -> Column:
     outside of matches."""
     hits = F.regexp_extract_all(text, F.lit(form), F.lit(0))
     gaps = F.split(text, form, -1)
-    kind = "array<struct<start:int,end:int,hit:string,before:string,after:string>>"
-    none = F.expr(f"cast(array() as {kind})")
+    none = F.expr("cast(array() as array<struct<start:int,end:int,hit:string,before:string,after:string>>)")
     last, first = (_last_word, _first_word) if words else ((lambda g: F.lit("")), (lambda g: F.lit("")))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("word"), none.alias("out"))
 
     def step(acc, x):
         start = acc["at"] + F.length(x["gap"])
@@ -80,10 +96,10 @@ def _spans(text: Column, form: str, words: bool = False) -> Column:
         return F.struct(word.alias("word"), F.concat(acc["out"], F.array(one)).alias("out"))
 
     beside = F.arrays_zip(hits.alias("hit"), F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), F.slice(gaps, F.lit(2), F.size(hits)).alias("next"))
-    out = F.aggregate(beside, zero, step)["out"]
+    out = _scan(beside, {"at": F.lit(0), "word": F.lit(""), "out": none}, step)
     if not words:
         return out
-    return F.aggregate(F.reverse(out), F.struct(F.lit("").alias("word"), none.alias("out")), back)["out"]
+    return _scan(F.reverse(out), {"word": F.lit(""), "out": none}, back)
 
 
 def _luhn(hit: Column) -> Column:
@@ -152,13 +168,19 @@ def _normal(hit: Column, kind: Column) -> Column:
 
 def bootstrap(table: DataFrame) -> DataFrame:
     """(rid, kind, start, end) of identifiers found by patterns. table: rid, a span array for each kind, inst."""
-    one = table.select("rid", F.explode("inst").alias("i"), *KINDS).select("rid", "i.*", *KINDS).where("before <> '' or after <> ''")
+    seen = table.select("rid", F.explode("inst").alias("i")).select("rid", "i.*", F.lit(None).cast("string").alias("seed"))
+    of_kind = lambda k: F.transform(k, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), F.lit(k).alias("seed")))
+    seeds = table.where(F.size("inst") > 0).select("rid", F.explode(F.concat(*[of_kind(k) for k in KINDS])).alias("s")).select("rid", "s.*")
+    placed = seen.unionByName(seeds, allowMissingColumns=True)
+    # the instance begins a seed, or a seed begins in it: the next seed from its start on is the one to look at
+    onward = Window.partitionBy("rid").orderBy(F.col("start").desc()).rangeBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("rid").orderBy("start").rangeBetween(Window.unboundedPreceding, -1)
     of = F.lit(None).cast("string")
-    inside = F.lit(False)
     for k in reversed(KINDS):
-        # the instance begins a seed, or a seed begins in it
-        of = F.when(F.exists(F.col(k), lambda b: (b["start"] >= F.col("start")) & (b["start"] < F.col("end"))), F.lit(k)).otherwise(of)
-        inside = inside | F.exists(F.col(k), lambda b: (b["start"] < F.col("start")) & (b["end"] > F.col("start")))
+        of = F.when(F.col(f"next_{k}") < F.col("end"), F.lit(k)).otherwise(of)
+    inside = F.coalesce(F.col("upto") > F.col("start"), F.lit(False))
+    placed = placed.select("*", *[F.min(F.when(F.col("seed") == k, F.col("start"))).over(onward).alias(f"next_{k}") for k in KINDS])
+    one = placed.withColumn("upto", F.max(F.when(F.col("seed").isNotNull(), F.col("end"))).over(earlier)).where("seed is null and (before <> '' or after <> '')")
     shape = F.lit(None).cast("string")
     for k in reversed(KINDS):
         shape = F.when(F.col("hit").rlike(f"(?i)^(?:{LOOSE[k]})$"), F.lit(k)).otherwise(shape)
