@@ -7,10 +7,13 @@ are taken in the order of their bounds and scored, until the next bound is below
 is still scored, so ties come out right. The best k of each segment are merged by a window per query.
 
 Queries travel to every segment in chunks, and a task holds one segment and one chunk. Sums are exact in float64 as long
-as dim * max|x|**2 < 2**53, which is checked.
+as dim * max|x|**2 < 2**53. Where a table's may be larger, bounds are still summed in float64, raised by what rounding may
+have taken, and the rows of the blocks that they leave are scored in whole numbers of any size.
 
 Defined results: unusable vectors (null, empty, null or non-finite components) take no part; vectors of another length than
-the query's are no candidates; rows that share an id count once, with the smallest vector; empty tables give no rows.
+the query's are no candidates; rows that share an id count once, with the smallest vector; components and scores beyond a
+long's range are given as its nearest end, though scores are ranked by their true values within a segment; extra columns
+are left out; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -40,6 +43,29 @@ def build_blocks(ids: np.ndarray, m: np.ndarray):
     return ids, m, starts, np.maximum.reduceat(m, starts, axis=0), np.minimum.reduceat(m, starts, axis=0)
 
 
+def exact_products(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of rows of whole numbers, as Python's integers."""
+    weights = [int(x) for x in q]
+    return np.array([sum(int(a) * b for a, b in zip(r, weights, strict=True)) for r in rows.tolist()] + [None], dtype=object)[:-1]
+
+
+def best_exactly(index, qid: int, q: np.ndarray, bounds: np.ndarray, k: int):
+    """As best_of_segment, for products that float64 can't hold."""
+    ids, m, starts, high, low = index
+    # each of dim products and dim sums is off by 2**-53 of the absolute sum at most; twice that is added
+    slack = (np.maximum(np.abs(high), np.abs(low)) @ np.abs(q)) * (4 * (len(q) + 1) * 2.0**-53)
+    bounds = bounds + slack
+    best: list[tuple[int, int]] = []
+    order, at = np.argsort(-bounds, kind="stable"), 0
+    while at < len(order) and (len(best) < k or bounds[order[at]] >= best[-1][0] * -1):
+        rows = slice(starts[order[at]], starts[order[at]] + BLOCK)
+        found = zip(exact_products(m[rows], q), ids[rows].tolist(), strict=True)
+        best = sorted([*best, *((-s, i) for s, i in found if i != qid)])[:k]
+        at += 1
+    ends = np.iinfo(np.int64)
+    return np.array([max(ends.min, min(ends.max, -s)) for s, _ in best], np.int64), np.array([i for _, i in best], np.int64), at
+
+
 def best_of_segment(index, qid: int, q: np.ndarray, bounds: np.ndarray, k: int):
     """The k best (score, id) of one segment for one query, ids other than the query's own, and the blocks scored."""
     ids, m, starts, _, _ = index
@@ -69,8 +95,7 @@ def top_k_products(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     ship(vectors.sparkSession)
     dealt = vectors.withColumn("dim", F.size("v"))
     n, big = dealt.agg(F.count("*"), F.max(F.expr("dim * array_max(transform(v, x -> x * x))"))).first()
-    if (big or 0) >= 2**53:
-        raise ValueError("the products are too large to be summed exactly")
+    best = best_of_segment if (big or 0) < 2**53 else best_exactly
     parts = max(1, -(-n // SEGMENT_ROWS))
     cand = dealt.select(F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("seg"), "dim", F.lit(False).alias("is_query"), "vec_id", "v")
     ask = queries.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("seg"), F.size("v").alias("dim"), F.lit(True).alias("is_query"), "vec_id", "v")
@@ -88,7 +113,7 @@ def top_k_products(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             for b in waiting:
                 q = matrix(b.column("v"), b.num_rows)
                 bounds = np.maximum(q, 0) @ index[3].T + np.minimum(q, 0) @ index[4].T
-                out = [best_of_segment(index, qid, q[i], bounds[i], k) for i, qid in enumerate(b.column("vec_id").to_pylist())]
+                out = [best(index, qid, q[i], bounds[i], k) for i, qid in enumerate(b.column("vec_id").to_pylist())]
                 sizes = [len(o[0]) for o in out]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(b.column("vec_id").to_numpy(), sizes), pa.int64()), pa.array(np.concatenate([o[1] for o in out]), pa.int64()), pa.array(np.concatenate([o[0] for o in out]).astype(np.int64), pa.int64())],

@@ -138,6 +138,23 @@ def test_exact_products(spark):
     assert topk_blocks.search_products(df.limit(0)).count() == 0
 
 
+def test_large_products(spark):
+    """Products beyond 2**53, some beyond a long, beside small ones; of equal ones the smaller id comes first."""
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(300, 8))
+    m[::4] *= 1e7
+    m[10], m[20], m[21], m[22] = 1e9, 2.0**30, 2.0**30, 2.0**30
+    m[22][0] += 1 / 64
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk_blocks.search_products(df).collect()}
+    w = [[int(x) for x in r] for r in np.floor(64 * m).tolist()]
+    for q in range(0, 300, 20):
+        s = sorted((-sum(a * b for a, b in zip(w[i], w[q], strict=True)), i) for i in range(300) if i != q)[:20]
+        assert {got[q, k + 1] for k in range(20)} == {(i, min(2**63 - 1, -x)) for x, i in s}
+        if -s[0][0] < 2**63:
+            assert [got[q, k + 1] for k in range(20)] == [(i, -x) for x, i in s]
+
+
 def test_nearest_of_several_lengths(spark):
     """The first length alone has more candidates for pivots than one limit for all lengths let through."""
     rng = np.random.default_rng(6)
@@ -257,6 +274,17 @@ def test_personal_data(spark):
     assert pii.personal_data(df.limit(0)).count() == 0
 
 
+def test_texts_of_very_many_identifiers(spark):
+    """Spans of more than one piece; instances that begin a seed, hold one's start, or lie within one."""
+    n = 3000
+    text = " ".join(f"a{i}@b.org" for i in range(n)) + " (+1 (269) 555-1000) " + "9" * 16 + " 4111 1111 1111 1111"
+    df = spark.createDataFrame([(1, text, "x"), (2, "a@b.org", "y")], "doc_id long, text string, start string")
+    got = {r.doc_id: r for r in pii.personal_data(df).collect()}
+    want = base(text)
+    assert got[1].n_email == n and got[1].spans == ",".join(f"{k}:{s}:{e}" for k, s, e in want) and got[1].n_found == 0
+    assert got[1].base_sha256 == hashlib.sha256(got[1].spans.encode()).hexdigest()
+
+
 def test_contexts_find_what_the_forms_miss(spark):
     texts = [f"dial +1 (269) 555-{1000 + i} now" for i in range(30)] + ["dial 269-555-1234 now", "part 269-555-1234 now"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
