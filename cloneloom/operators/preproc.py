@@ -1,8 +1,8 @@
 """Preprocessors of weighted sets: downsampling without replacement, heaviest keys, dropping of small samples, summaries.
 
-A unit is one count of a key. Units are drawn by the order of md5(sample, key, number), which any engine reproduces. Taking
-N units of a large sample needs no sort of its units: they are counted by leading digits of the hash, whole buckets before
-the N-th unit are taken, and only the one bucket that holds it is ranked.
+A unit is one count of a key. Units are drawn by the order of md5(sample, key, number), which any engine reproduces. Hashes
+are uniform, so the last unit drawn is known beforehand but for a narrow margin: units before it are counted by key in the
+task that makes them, those within it are ranked, and no others are shuffled or written.
 """
 
 from __future__ import annotations
@@ -14,27 +14,61 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def units(df: DataFrame, keys: Sequence[str], sample: str = "sample", weight: str = "weight") -> DataFrame:
-    """(sample, keys, hash): one row a unit of the rounded weight. Keys are aggregated first."""
-    w = df.groupBy(sample, *keys).agg(F.round(F.sum(weight)).cast("long").alias("_w")).where("_w > 0")
-    u = w.withColumn("_u", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_w"))))
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (sample, *keys)]
-    return u.select(sample, *keys, F.md5(F.concat_ws(":", *parts, F.col("_u").cast("string")).cast("binary")).alias("hash"))
-
-
-def downsample(df: DataFrame, keys: Sequence[str], n: int | Column, sample: str = "sample", weight: str = "weight", digits: int = 2) -> DataFrame:
-    """Sets of at most n units in each sample, n being a number or a column made from `sample` (null: the whole set)."""
-    u = units(df, keys, sample, weight).withColumn("_b", F.substring("hash", 1, digits))
-    size = F.lit(n) if isinstance(n, int) else n
-    counts = u.groupBy(sample, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    end = F.sum("_c").over(Window.partitionBy(sample).orderBy("_b"))  # at most 16**digits rows a sample
-    buckets = counts.withColumn("_end", end).withColumn("_start", F.col("_end") - F.col("_c")).withColumn("_n", F.coalesce(size, F.col("_end")))
-    rows = u.join(buckets.where("_start < _n"), [sample, "_b"])
-    whole = rows.where("_end <= _n").select(sample, *keys)
-    order = Window.partitionBy(sample).orderBy("hash", *keys)
-    part = rows.where("_end > _n").withColumn("_r", F.row_number().over(order)).where("_start + _r <= _n").select(sample, *keys)
-    return whole.unionByName(part).groupBy(sample, *keys).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+from .graph import settle
+
+#: Units made of one row at a time, and units a task.
+PIECE, TASK_UNITS = 4096, 4_000_000
+#: The margin on either side of the last unit's expected place, in standard deviations.
+SIGMAS = 8.0
+
+
+def _border(share: Column) -> Column:
+    """A text that this share of all hashes is smaller than."""
+    digits = F.lower(F.lpad(F.hex(F.floor(share * 2.0**52).cast("long")), 13, "0"))
+    return F.when(share <= 0, "").when(share >= 1, "g").otherwise(digits)
+
+
+def _with(df: DataFrame, totals: DataFrame, sample: str) -> DataFrame:
+    """df with the columns of its sample's row in totals, samples that are null among them."""
+    t = totals.withColumnRenamed(sample, "_sample")
+    return df.join(t, F.col(sample).eqNullSafe(F.col("_sample"))).drop("_sample")
+
+
+def _drawn(w: DataFrame, totals: DataFrame, keys: Sequence[str], sample: str, sigmas: float, tasks: int) -> DataFrame:
+    """(sample, keys, _h, _c): the units within the margin by their hash _h, and how many are below it, _h being empty."""
+    share = F.col("_n") / F.col("_size")
+    off = (sigmas * F.sqrt(F.col("_n") * (1 - share)) + sigmas * sigmas) / F.col("_size")
+    t = totals.select(sample, _border(share - off).alias("_lo"), _border(share + off).alias("_hi"))
+    name = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (sample, *keys)], F.lit(""))
+    last = F.floor((F.col("_w") - 1) / PIECE)
+    pieces = _with(w, t, sample).withColumn("_name", name).withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    dealt = pieces.repartition(tasks, sample, *keys, "_p")
+    number = F.explode(F.sequence(F.col("_p") * PIECE + 1, F.least((F.col("_p") + 1) * PIECE, "_w")))
+    u = dealt.withColumn("_u", number).withColumn("_md5", F.md5(F.concat("_name", F.col("_u").cast("string")).cast("binary")))
+    h = F.when(F.col("_md5") < F.col("_lo"), "").when(F.col("_md5") < F.col("_hi"), F.col("_md5"))
+    return u.select(sample, *keys, h.alias("_h")).groupBy(sample, *keys, "_h").agg(F.count(F.lit(1)).alias("_c")).where("_h is not null")
+
+
+def downsample(df: DataFrame, keys: Sequence[str], n: int | Column, sample: str = "sample", weight: str = "weight", sigmas: float = SIGMAS) -> DataFrame:
+    """Sets of at most n units in each sample, n being a number or a column made from `sample` (null: the whole set). Weights
+    are summed by key and rounded. `sigmas` sets the margin that is tried first, and doesn't change the result."""
+    w = settle(df.groupBy(sample, *keys).agg(F.round(F.sum(weight)).cast("long").alias("_w")).where("_w > 0"))
+    size = F.greatest((F.lit(n) if isinstance(n, int) else n).cast("long"), F.lit(0).cast("long"))
+    totals = settle(w.groupBy(sample).agg(F.sum("_w").alias("_size")).withColumn("_n", F.coalesce(F.least(size, "_size"), F.col("_size"))))
+    found = [_with(w, totals.where("_n = _size"), sample).select(sample, *keys, F.col("_w").alias("_c"))]
+    left = totals.where("_n < _size")
+    while units := left.agg(F.sum("_size")).first()[0]:
+        tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), units // TASK_UNITS)
+        drawn = settle(_drawn(w, left, keys, sample, sigmas, tasks))
+        below = F.sum(F.when(F.col("_h") == "", F.col("_c")).otherwise(0))
+        seen = drawn.groupBy(sample).agg(below.alias("_below"), F.sum("_c").alias("_to")).withColumnRenamed(sample, "_of")
+        state = settle(left.join(seen, F.col(sample).eqNullSafe(F.col("_of")), "left").drop("_of").withColumn("_ok", F.expr("coalesce(_below, 0) <= _n and _n <= coalesce(_to, 0)")))
+        rows = _with(drawn, state.where("_ok").select(sample, "_n", "_below"), sample)
+        run = F.sum("_c").over(Window.partitionBy(sample).orderBy("_h", *keys).rowsBetween(Window.unboundedPreceding, -1))
+        ranked = rows.where("_h <> ''").withColumn("_c", F.least("_c", F.col("_n") - F.col("_below") - F.coalesce(run, F.lit(0))))
+        found += [rows.where("_h = ''").select(sample, *keys, "_c"), ranked.where("_c > 0").select(sample, *keys, "_c")]
+        left, sigmas = state.where("not _ok").select(sample, "_size", "_n"), 8 * sigmas + 1
+    return reduce(DataFrame.unionByName, found).groupBy(sample, *keys).agg(F.sum("_c").cast("double").alias("weight"))
 
 
 def sizes(df: DataFrame, sample: str = "sample", weight: str = "weight") -> DataFrame:

@@ -1,5 +1,7 @@
+import hashlib
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -54,6 +56,21 @@ def test_downsampling_keeps_the_total_and_stays_inside(spark):
     assert sorted(map(tuple, d.collect())) == sorted(map(tuple, preproc.downsample(df, ["key"], 100).collect()))
 
 
+def drawn_by_hand(rows, n):
+    units = {}
+    for sample, key, weight in rows:
+        units.setdefault(sample, []).extend((hashlib.md5(f"{sample or ''}:{key}:{i}".encode()).hexdigest(), key) for i in range(1, round(weight) + 1))
+    return Counter((s, key) for s, u in units.items() for _, key in sorted(u)[:n])
+
+
+@pytest.mark.parametrize("sigmas", [0.0, preproc.SIGMAS])
+@pytest.mark.parametrize("n", [0, 1, 700, 4990, 5000, 9000])
+def test_downsampling_takes_the_first_hashes_whatever_the_margin(spark, n, sigmas):
+    rows = [("a", 1, 4500.0), ("a", 2, 499.6), ("a", 3, 0.4), ("b", 1, 6000.0), ("b", 4, 1.0), (None, 1, 5100.0)]
+    got = preproc.downsample(clones(spark, rows), ["key"], n, sigmas=sigmas).collect()
+    assert {(r.sample, r.key): r.weight for r in got} == drawn_by_hand(rows, n)
+
+
 def test_automatic_size_ignores_tiny_samples(spark):
     for sizes, want in (([501, 200000, 300000, 400000], 200000.0), ([100, 100, 100], 100.0)):
         df = spark.createDataFrame([(float(s),) for s in sizes], "size double")
