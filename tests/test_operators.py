@@ -71,6 +71,16 @@ def test_downsampling_takes_the_first_hashes_whatever_the_margin(spark, n, sigma
     assert {(r.sample, r.key): r.weight for r in got} == drawn_by_hand(rows, n)
 
 
+def test_a_chain_of_preprocessors_shuffles_no_units(spark):
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    rows = [(s, k, 30000.0 + k) for s in "ab" for k in range(10)]
+    want = {(s, k): n for (s, k), n in drawn_by_hand(rows, 500).items()}
+    before = written()
+    got = preproc.chain(clones(spark, rows), ["key"], ["count-weight-fixed-500", "top-weight-3"]).collect()
+    assert written() - before < 2 << 20
+    assert sorted((r.sample, r.key) for r in got) == sorted((s, k) for s in "ab" for k in sorted(range(10), key=lambda k: (-want[s, k], k))[:3])
+
+
 def test_automatic_size_ignores_tiny_samples(spark):
     for sizes, want in (([501, 200000, 300000, 400000], 200000.0), ([100, 100, 100], 100.0)):
         df = spark.createDataFrame([(float(s),) for s in sizes], "size double")
