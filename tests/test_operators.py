@@ -71,6 +71,13 @@ def test_downsampling_takes_the_first_hashes_whatever_the_margin(spark, n, sigma
     assert {(r.sample, r.key): r.weight for r in got} == drawn_by_hand(rows, n)
 
 
+def test_downsampling_shuffles_no_units(spark):
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    df, before = clones(spark, [("a", k, 60000.0) for k in range(10)] + [("b", k, 59000.0) for k in range(10)]), written()
+    assert preproc.downsample(df, ["key"], 590000).agg(F.sum("weight")).first()[0] == 1180000.0
+    assert written() - before < 2 << 20
+
+
 def test_a_chain_of_preprocessors_shuffles_no_units(spark):
     written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
     rows = [(s, k, 30000.0 + k) for s in "ab" for k in range(10)]
