@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -100,22 +102,121 @@ def group_chains(clones: DataFrame, group: str = "cell_group", chain: str = "cha
     return r.groupBy(group, chain).agg(pick(1, key).alias("first"), pick(1, weight).alias("first_weight"), pick(2, key).alias("second"), F.count(F.lit(1)).alias("n_clones"), F.sum(weight).alias("total"))
 
 
+#: Groups of at most this many sequences emit all their near pairs; larger ones only what spans their components, and those
+#: of more than twice BLOCK are compared by pairs of blocks.
+FEW, BLOCK = 32, 2048
+
+
+def _codes(texts: list[str]) -> np.ndarray:
+    """A row of small numbers a text, equal where the characters are; shorter texts are padded with a character of their own."""
+    width = max(1, max(map(len, texts)))
+    points = np.array([t.ljust(width, "\ud800") for t in texts], dtype=f"<U{width}").view(np.uint32).reshape(len(texts), width)
+    values, codes = np.unique(points, return_inverse=True)
+    return codes.reshape(points.shape).astype(np.uint8 if len(values) <= 256 else np.uint32)
+
+
+def _differ(columns: list[np.ndarray], other: Sequence) -> np.ndarray:
+    """In how many columns `other` differs, a scalar or an array a column."""
+    total = None
+    for c, o in zip(columns, other, strict=True):
+        d = c != o
+        total = d.astype(np.uint8 if len(columns) < 256 else np.int32) if total is None else np.add(total, d, out=total)
+    return total
+
+
+def _spanning(codes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Pairs of rows that differ in at most `most` columns, as many as connect all that such pairs connect."""
+    columns = list(codes.T)
+    near = _differ([c[:, None] for c in columns], [c[None] for c in columns]) <= most
+    free, out = np.ones(len(codes), bool), []
+    for first in range(len(codes)):
+        if free[first]:
+            free[first], stack = False, [first]
+            while stack:
+                more = np.flatnonzero(near[stack.pop()] & free)
+                free[more] = False
+                out += [(first, j) for j in more.tolist()]
+                stack += more.tolist()
+    return out
+
+
+def _near(batches):
+    """(a, b): ids of sequences of a group that differ in at most k places, or are connected by such."""
+    for batch in batches:
+        lists = batch.column("rows")
+        ids, seqs = lists.flatten().flatten()
+        sizes = np.diff(lists.offsets.to_numpy())
+        group, lengths, most = np.repeat(np.arange(len(sizes)), sizes), batch.column("n").to_numpy(), batch.column("k").to_numpy()
+        a, b = [], []
+        for n in np.unique(lengths).tolist():
+            rows = np.flatnonzero(lengths[group] == n)
+            k, g = int(most[group[rows[0]]]), group[rows]
+            codes = _codes(seqs.take(pa.array(rows)).to_pylist())
+            few = sizes[g] <= FEW
+            for d in range(1, FEW):
+                x = np.flatnonzero((g[d:] == g[:-d]) & few[:-d])
+                if not len(x):
+                    break
+                x = x[(codes[x] != codes[x + d]).sum(axis=1) <= k]
+                a += rows[x].tolist()
+                b += rows[x + d].tolist()
+            for many in np.unique(g[~few]).tolist():
+                at = np.searchsorted(g, many)
+                for x, y in _spanning(codes[at : at + sizes[many]], k):
+                    a.append(int(rows[at + x]))
+                    b.append(int(rows[at + y]))
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(x, pa.int64())) for x in (a, b)], names=["a", "b"])
+
+
 def lineages(clones: DataFrame, seq: str = "cdr3_nt", block: Sequence[str] = ("v_gene", "j_gene"), identity: float = 0.85, key: str = "clone_id") -> DataFrame:
     """(key, tree_id): single linkage, inside blocks of equal genes and length, of sequences that differ in at most
-    1 - identity of their positions. Candidates share one of k + 1 pieces, so a block isn't compared all with all."""
-    n = F.length(seq)
-    c = clones.select(F.col(key).alias("id"), *block, F.col(seq).alias("s"), n.alias("n"), F.floor(F.lit(1 - identity + 1e-9) * n).cast("int").alias("k"))
+    1 - identity of their positions. Candidates share one of k + 1 pieces, so a block isn't compared all with all; equal
+    sequences are one candidate, and a group of candidates gives the links that connect it, not its pairs."""
+    n = F.length("s")
+    c = clones.select(F.col(key).alias("id"), *block, F.col(seq).alias("s")).where("id is not null and s <> ''").dropna(subset=list(block))
+    one = settle(c.groupBy(*block, "s").agg(F.min("id").alias("id")).select("id", *block, "s", n.alias("n"), F.floor(F.lit(1 - identity + 1e-9) * n).cast("int").alias("k")))
     size = F.floor(F.col("n") / (F.col("k") + 1)).cast("int")
     pieces = F.transform(F.sequence(F.lit(0), F.col("k")), lambda i: F.struct(i.alias("i"), F.substr("s", i * size + 1, F.when(i == F.col("k"), F.col("n")).otherwise(size)).alias("p")))
-    rows = c.where("n > 0").select("id", *block, "s", "n", "k", F.explode(pieces).alias("piece")).select("id", *block, "s", "n", "k", "piece.i", "piece.p")
+    rows = one.select("id", *block, "s", "n", "k", F.explode(pieces).alias("piece")).select("id", *block, "s", "n", "k", "piece.i", "piece.p")
     on = [*block, "n", "i", "p"]
-    a, b = rows.select(*on, "k", F.col("id").alias("a"), F.col("s").alias("sa")), rows.select(*on, F.col("id").alias("b"), F.col("s").alias("sb"))
-    differ = F.aggregate(F.zip_with(F.split("sa", ""), F.split("sb", ""), lambda x, y: (x != y).cast("int")), F.lit(0), lambda t, x: t + x)
-    edges = a.join(b, on).where("a < b").where(differ <= F.col("k")).select("a", "b").distinct()
-    found = components(edges)
+    blocks = F.when(F.col("m") > 2 * BLOCK, F.ceil(F.col("m") / BLOCK)).otherwise(1).cast("int")
+    groups = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(*on, blocks.alias("blocks"))
+    own = F.pmod(F.xxhash64("s"), F.col("blocks")).cast("int")
+    dealt = rows.join(groups, on).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("own <> other or blocks = 1")
+    held = dealt.groupBy(*on, "k", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).agg(F.collect_list(F.struct("id", "s")).alias("rows"))
+    ship(clones.sparkSession)
+    kind = clones.schema[key].dataType.simpleString()
+    edges = held.select("n", "k", "rows").mapInArrow(_near, f"a {kind}, b {kind}")
+    copies = c.join(one.select(F.col("id").alias("a"), *block, "s"), [*block, "s"]).where("id <> a").select("a", F.col("id").alias("b"))
+    found = components(edges.unionByName(copies))
     return clones.select(key).join(found, F.col(key) == F.col("node"), "left").select(key, F.coalesce("component", key).alias("tree_id"))
 
 
+def _grown(texts: list[str]) -> list[tuple[int, int, int, int]]:
+    """(node, parent, distance, height) of the tree that grows from text 0: next comes the nearest text, the first of equally
+    near ones, under the first of the nodes nearest to it. Equal texts hang under the first of them."""
+    first: dict[str, int] = {}
+    for i, t in enumerate(texts):
+        first.setdefault(t, i)
+    codes, nodes = _codes(list(first)), np.array(list(first.values()))
+    bits = len(texts).bit_length()
+    columns, near = [np.ascontiguousarray(c) for c in codes.T], np.full(len(nodes), np.iinfo(np.int64).max)
+    height, out, node, row, at = {0: 0}, [], 0, codes[0], 0
+    for left in range(len(nodes) - 1, 0, -1):
+        near = np.minimum(near, (_differ(columns, row).astype(np.int64) << bits) | node)
+        near[at] = -1  # in the tree; as an unsigned number the largest
+        if 2 * left < len(near):
+            kept = np.flatnonzero(near >= 0)
+            codes, nodes, near = codes[kept], nodes[kept], near[kept]
+            columns = [np.ascontiguousarray(c) for c in codes.T]
+        at = int(np.argmin((near >> bits).view(np.uint64)))
+        distance, parent = divmod(int(near[at]), 1 << bits)
+        node, row = int(nodes[at]), codes[at]
+        height[node] = height[parent] + 1
+        out.append((node, parent, distance, height[node]))
+    return out + [(i, first[t], 0, height[first[t]] + 1) for i, t in enumerate(texts) if first[t] != i]
+
+
 def lineage_trees(members: DataFrame, germline: str = "germline", seq: str = "seq", tree: str = "tree_id", key: str = "clone_id") -> DataFrame:
     """(tree, node_id, parent_id, distance, height): a spanning tree of each lineage that grows from its germline, each
     next sequence hung under the nearest node. node 0 is the germline. Lineages are small next to the table; each is one
@@ -123,18 +224,9 @@ def lineage_trees(members: DataFrame, germline: str = "germline", seq: str = "se
 
     def run(pdf):
         pdf = pdf.sort_values([key])
-        root = pdf[germline].iloc[0]
-        seqs, ids = [root, *pdf[seq]], [-1, *pdf[key]]
-        dist = lambda x, y: sum(a != b for a, b in zip(x, y, strict=False)) + abs(len(x) - len(y))
-        near = {i: (dist(root, seqs[i]), 0) for i in range(1, len(seqs))}
-        height, rows = {0: 0}, [(pdf[tree].iloc[0], 0, None, None, 0, 0)]
-        while near:
-            i = min(near, key=lambda j: (near[j][0], j))
-            d, p = near.pop(i)
-            height[i] = height[p] + 1
-            rows.append((pdf[tree].iloc[0], i, p, ids[i], d, height[i]))
-            for j in near:
-                near[j] = min(near[j], (dist(seqs[i], seqs[j]), i))
+        name, ids = pdf[tree].iloc[0], [-1, *pdf[key]]
+        rows = [(name, 0, None, None, 0, 0)]
+        rows += [(name, i, p, ids[i], d, h) for i, p, d, h in _grown([pdf[germline].iloc[0], *pdf[seq]])]
         return pd.DataFrame(rows, columns=["tree_id", "node_id", "parent_id", "clone_id", "distance", "height"])
 
     ship(members.sparkSession)
@@ -151,22 +243,28 @@ def newick(nodes: DataFrame) -> DataFrame:
         for r in pdf.itertuples():
             if pd.notna(r.parent_id):
                 kids.setdefault(int(r.parent_id), []).append(int(r.node_id))
-        text: dict = {}
-        order, stack = [], [0]
-        while stack:
+        text, stack = [], [0]
+        while stack:  # nodes to write, and texts that follow them
             n = stack.pop()
-            order.append(n)
-            stack += kids.get(n, [])
-        for n in reversed(order):
-            inner = "(" + ",".join(text[k] for k in sorted(kids[n])) + ")" if n in kids else ""
-            text[n] = f"{inner}{n}:{int(rows[n].distance)}"
-        return pd.DataFrame([(pdf.tree_id.iloc[0], text[0] + ";")], columns=["tree_id", "newick"])
+            if isinstance(n, str):
+                text.append(n)
+                continue
+            end = f"{n}:{int(rows[n].distance)}"
+            if n not in kids:
+                text.append(end)
+                continue
+            text.append("(")
+            stack.append(")" + end)
+            for i, k in enumerate(sorted(kids[n], reverse=True)):
+                stack += [",", k] if i else [k]
+        return pd.DataFrame([(pdf.tree_id.iloc[0], "".join(text) + ";")], columns=["tree_id", "newick"])
 
     ship(nodes.sparkSession)
     return nodes.groupBy("tree_id").applyInPandas(run, f"tree_id {nodes.schema['tree_id'].dataType.simpleString()}, newick string")
 
 
 def tree_filter(nodes: DataFrame, min_nodes: int = 0, min_height: int = 0) -> DataFrame:
+    nodes = settle(nodes)
     ok = nodes.groupBy("tree_id").agg(F.count(F.lit(1)).alias("n"), F.max("height").alias("h")).where((F.col("n") >= min_nodes) & (F.col("h") >= min_height))
     return nodes.join(ok.select("tree_id"), "tree_id", "left_semi")
 

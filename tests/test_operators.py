@@ -197,6 +197,38 @@ def test_lineages_and_newick(spark):
     assert {r.tree_id: r.newick for r in cluster.newick(nodes).collect()}[1] == "(1:1,2:0)0:0;"
 
 
+def mutants(seed, n, length, roots, letters="ACGT"):
+    rng = random.Random(seed)
+    heads = ["".join(rng.choice(letters) for _ in range(length)) for _ in range(roots)]
+    return ["".join(rng.choice(letters) if rng.random() < 0.1 else c for c in rng.choice(heads)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("block", [2048, 40])
+def test_lineages_against_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(cluster, "BLOCK", block)
+    rows = [(i, f"V{i % 2}" if i % 50 else None, "J", s) for i, s in enumerate(mutants(3, 500, 12, 3) + mutants(4, 100, 9, 9, "Aé") + ["", None, "A", "A", "C"])]
+    best = {r[0]: r[0] for r in rows}
+
+    def find(i):
+        return i if best[i] == i else find(best[i])
+
+    for i, vi, _, s in rows:
+        for j, vj, _, t in rows[:i]:
+            if s and t and vi and vi == vj and len(s) == len(t) and sum(x != y for x, y in zip(s, t, strict=True)) <= math.floor(0.15 * len(s) + 1e-9):
+                x, y = find(i), find(j)
+                best[max(x, y)] = min(x, y)
+    df = spark.createDataFrame(rows, "clone_id long, v_gene string, j_gene string, cdr3_nt string")
+    assert {r.clone_id: r.tree_id for r in cluster.lineages(df).collect()} == {r[0]: find(r[0]) for r in rows}
+
+
+def test_lineages_write_no_pairs_of_copies(spark):
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    df = spark.range(2000).select(F.col("id").alias("clone_id"), F.lit("V").alias("v_gene"), F.lit("J").alias("j_gene"), F.when(F.col("id") < 1999, "ACGTACGTAC").otherwise("ACGTACGTAA").alias("cdr3_nt"))
+    before = written()
+    assert cluster.lineages(df).select("tree_id").distinct().collect()[0].tree_id == 0
+    assert written() - before < 1 << 20
+
+
 def test_reads(spark, tmp_path):
     (tmp_path / "a_R1.fastq").write_text("@r1 x\nACGTN\n+\n@IIII\n@r2\nGG\n+\nII\n")
     got = reads.read_fastq(spark, str(tmp_path / "a_R1.fastq"))
