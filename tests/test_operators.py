@@ -229,6 +229,28 @@ def test_lineages_write_no_pairs_of_copies(spark):
     assert written() - before < 1 << 20
 
 
+def grown_by_hand(texts):
+    dist = lambda x, y: sum(a != b for a, b in zip(x, y, strict=False)) + abs(len(x) - len(y))
+    near, height, out = {i: (dist(texts[0], t), 0) for i, t in enumerate(texts) if i}, {0: 0}, set()
+    while near:
+        i = min(near, key=lambda j: (near[j][0], j))
+        d, p = near.pop(i)
+        height[i] = height[p] + 1
+        out.add((i, p, d, height[i]))
+        near = {j: min(x, (dist(texts[i], texts[j]), i)) for j, x in near.items()}
+    return out
+
+
+def test_trees_grow_as_by_hand():
+    for seed in range(20):
+        rng = random.Random(seed)
+        texts = ["".join(rng.choice("ACGé") for _ in range(rng.choice([3, 4, 4, 5, 0]))) for _ in range(rng.randrange(1, 90))]
+        got = cluster._grown(texts)
+        assert len(got) == len(texts) - 1
+        assert set(got) == grown_by_hand(texts)
+    assert len(cluster._grown(mutants(5, 6000, 12, 40))) == 5999
+
+
 def test_reads(spark, tmp_path):
     (tmp_path / "a_R1.fastq").write_text("@r1 x\nACGTN\n+\n@IIII\n@r2\nGG\n+\nII\n")
     got = reads.read_fastq(spark, str(tmp_path / "a_R1.fastq"))
