@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -251,6 +252,29 @@ def test_trees_grow_as_by_hand():
     assert len(cluster._grown(mutants(5, 6000, 12, 40))) == 5999
 
 
+def test_newick_of_a_deep_tree_and_of_ordered_children(spark):
+    n = 20000
+    nodes = spark.range(n).select(F.lit(7).alias("tree_id"), F.col("id").cast("int").alias("node_id"), F.when(F.col("id") > 0, F.col("id") - 1).cast("int").alias("parent_id"), F.lit(1).alias("distance"))
+    began = time.time()
+    assert cluster.newick(nodes).first().newick == "(" * (n - 1) + ")".join(f"{i}:1" for i in reversed(range(n))) + ";"
+    assert time.time() - began < 20
+    wide = spark.createDataFrame([(1, 0, None, 0), (1, 3, 0, 2), (1, 1, 0, 1), (1, 2, 1, 4)], "tree_id int, node_id int, parent_id int, distance int")
+    assert cluster.newick(wide).first().newick == "((2:4)1:1,3:2)0:0;"
+
+
+def test_tree_filter_runs_its_input_once(spark):
+    runs = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            runs.add(b.num_rows)
+            yield b
+
+    nodes = spark.range(4, numPartitions=1).select(F.lit(1).alias("tree_id"), F.col("id").alias("node_id"), F.lit(2).alias("height")).mapInArrow(run, "tree_id int, node_id long, height int")
+    assert cluster.tree_filter(nodes, min_nodes=3).count() == 4
+    assert runs.value == 4
+
+
 def test_reads(spark, tmp_path):
     (tmp_path / "a_R1.fastq").write_text("@r1 x\nACGTN\n+\n@IIII\n@r2\nGG\n+\nII\n")
     got = reads.read_fastq(spark, str(tmp_path / "a_R1.fastq"))
