@@ -41,7 +41,8 @@ CELLS, SMALL = 0.32, 64
 NUM, DEN = 100, 80
 HASH_BITS = 51
 SHARD_CELLS = 2_000_000
-FLUSH = 1_500_000
+#: Cells a task holds before they are dealt to shards; a flush takes about 100 bytes for each.
+FLUSH = 400_000
 SALT_ROWS = 200
 #: Sets in a block of a family, shingles in a block, and shingles counted at a time.
 BLOCK, BLOCK_SHINGLES, TOKENS = 256, 250_000, 4096

@@ -4,6 +4,8 @@ import re
 import numpy as np
 import pyarrow as pa
 
+from pyspark.sql import functions as F
+
 from cloneloom.llm import ngram_jaccard as J
 from cloneloom.llm import texts as tx
 
@@ -126,3 +128,12 @@ def test_words_equal_the_regular_expression():
             got[at + i] = h[rows == i].tolist()
     for i, t in enumerate(texts):
         assert len(got[i]) == len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+
+
+def test_a_flush_of_cells_is_small(spark):
+    words = F.transform(F.sequence(F.lit(0), F.lit(39)), lambda x: F.concat(F.lit("w"), (F.col("id") * 40 + x).cast("string")))
+    docs = spark.range(17000, numPartitions=1).select(F.col("id").alias("doc_id"), F.array_join(words, " ").alias("text"))
+    J.ship(spark)
+    sizes = [r.n for r in J.packed_cells(docs, 1, True).select((F.octet_length("sigs") + F.octet_length("nodes")).alias("n")).collect()]
+    assert sum(sizes) == 17000 * 36 * 16
+    assert max(sizes) <= 8 << 20
