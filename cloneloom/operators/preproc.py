@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cloneloom.scratch import swept
+
 from .graph import settle
 
 #: Units made of one row at a time, and units a task.
@@ -41,8 +43,8 @@ def _drawn(w: DataFrame, totals: DataFrame, keys: Sequence[str], sample: str, si
     t = totals.select(sample, _border(share - off).alias("_lo"), _border(share + off).alias("_hi"))
     name = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (sample, *keys)], F.lit(""))
     last = F.floor((F.col("_w") - 1) / PIECE)
-    pieces = _with(w, t, sample).withColumn("_name", name).withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    dealt = pieces.repartition(tasks, sample, *keys, "_p")
+    pieces = _with(w, t, sample).withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    dealt = pieces.repartition(tasks, sample, *keys, "_p").withColumn("_name", name)
     number = F.explode(F.sequence(F.col("_p") * PIECE + 1, F.least((F.col("_p") + 1) * PIECE, "_w")))
     u = dealt.withColumn("_u", number).withColumn("_md5", F.md5(F.concat("_name", F.col("_u").cast("string")).cast("binary")))
     h = F.when(F.col("_md5") < F.col("_lo"), "").when(F.col("_md5") < F.col("_hi"), F.col("_md5"))
@@ -52,22 +54,23 @@ def _drawn(w: DataFrame, totals: DataFrame, keys: Sequence[str], sample: str, si
 def downsample(df: DataFrame, keys: Sequence[str], n: int | Column, sample: str = "sample", weight: str = "weight", sigmas: float = SIGMAS) -> DataFrame:
     """Sets of at most n units in each sample, n being a number or a column made from `sample` (null: the whole set). Weights
     are summed by key and rounded. `sigmas` sets the margin that is tried first, and doesn't change the result."""
-    w = settle(df.groupBy(sample, *keys).agg(F.round(F.sum(weight)).cast("long").alias("_w")).where("_w > 0"))
-    size = F.greatest((F.lit(n) if isinstance(n, int) else n).cast("long"), F.lit(0).cast("long"))
-    totals = settle(w.groupBy(sample).agg(F.sum("_w").alias("_size")).withColumn("_n", F.coalesce(F.least(size, "_size"), F.col("_size"))))
-    found = [_with(w, totals.where("_n = _size"), sample).select(sample, *keys, F.col("_w").alias("_c"))]
-    left = totals.where("_n < _size")
-    while units := left.agg(F.sum("_size")).first()[0]:
-        tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), units // TASK_UNITS)
-        drawn = settle(_drawn(w, left, keys, sample, sigmas, tasks))
-        below = F.sum(F.when(F.col("_h") == "", F.col("_c")).otherwise(0))
-        seen = drawn.groupBy(sample).agg(below.alias("_below"), F.sum("_c").alias("_to")).withColumnRenamed(sample, "_of")
-        state = settle(left.join(seen, F.col(sample).eqNullSafe(F.col("_of")), "left").drop("_of").withColumn("_ok", F.expr("coalesce(_below, 0) <= _n and _n <= coalesce(_to, 0)")))
-        rows = _with(drawn, state.where("_ok").select(sample, "_n", "_below"), sample)
-        run = F.sum("_c").over(Window.partitionBy(sample).orderBy("_h", *keys).rowsBetween(Window.unboundedPreceding, -1))
-        ranked = rows.where("_h <> ''").withColumn("_c", F.least("_c", F.col("_n") - F.col("_below") - F.coalesce(run, F.lit(0))))
-        found += [rows.where("_h = ''").select(sample, *keys, "_c"), ranked.where("_c > 0").select(sample, *keys, "_c")]
-        left, sigmas = state.where("not _ok").select(sample, "_size", "_n"), 8 * sigmas + 1
+    with swept(df.sparkSession):
+        w = settle(df.groupBy(sample, *keys).agg(F.round(F.sum(weight)).cast("long").alias("_w")).where("_w > 0"))
+        size = F.greatest((F.lit(n) if isinstance(n, int) else n).cast("long"), F.lit(0).cast("long"))
+        totals = settle(w.groupBy(sample).agg(F.sum("_w").alias("_size")).withColumn("_n", F.coalesce(F.least(size, "_size"), F.col("_size"))))
+        found = [_with(w, totals.where("_n = _size"), sample).select(sample, *keys, F.col("_w").alias("_c"))]
+        left = totals.where("_n < _size")
+        while units := left.agg(F.sum("_size")).first()[0]:
+            tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), units // TASK_UNITS)
+            drawn = settle(_drawn(w, left, keys, sample, sigmas, tasks))
+            below = F.sum(F.when(F.col("_h") == "", F.col("_c")).otherwise(0))
+            seen = drawn.groupBy(sample).agg(below.alias("_below"), F.sum("_c").alias("_to")).withColumnRenamed(sample, "_of")
+            state = settle(left.join(seen, F.col(sample).eqNullSafe(F.col("_of")), "left").drop("_of").withColumn("_ok", F.expr("coalesce(_below, 0) <= _n and _n <= coalesce(_to, 0)")))
+            rows = _with(drawn, state.where("_ok").select(sample, "_n", "_below"), sample)
+            run = F.sum("_c").over(Window.partitionBy(sample).orderBy("_h", *keys).rowsBetween(Window.unboundedPreceding, -1))
+            ranked = rows.where("_h <> ''").withColumn("_c", F.least("_c", F.col("_n") - F.col("_below") - F.coalesce(run, F.lit(0))))
+            found += [rows.where("_h = ''").select(sample, *keys, "_c"), ranked.where("_c > 0").select(sample, *keys, "_c")]
+            left, sigmas = state.where("not _ok").select(sample, "_size", "_n"), 8 * sigmas + 1
     return reduce(DataFrame.unionByName, found).groupBy(sample, *keys).agg(F.sum("_c").cast("double").alias("weight"))
 
 
@@ -118,6 +121,8 @@ def parse(name: str):
         return lambda df, keys: cumulative_top(df, keys, float(arg), weight=weight)
     if kind == "count":
         def run(df, keys):
+            if arg.startswith("fixed-"):  # needs no sizes, so df isn't run for them
+                return downsample(df, keys, int(float(arg.removeprefix("fixed-"))), weight=weight)
             n = automatic_size(sizes(df, weight=weight), arg).first()
             return downsample(df, keys, int(n["n"]), weight=weight)
 

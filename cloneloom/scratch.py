@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,6 +43,18 @@ def folder(spark: SparkSession) -> str:
     return sc._cloneloom_scratch
 
 
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Within it, what a job shuffled is deleted when the job ends, rather than when the driver happens to collect garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def cut(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """df written as Parquet to the session's folder and read back, which ends its lineage."""
     path = f"{folder(df.sparkSession)}/{uuid.uuid4().hex}"

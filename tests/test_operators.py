@@ -89,6 +89,34 @@ def test_a_chain_of_preprocessors_shuffles_no_units(spark):
     assert sorted((r.sample, r.key) for r in got) == sorted((s, k) for s in "ab" for k in sorted(range(10), key=lambda k: (-want[s, k], k))[:3])
 
 
+def counted(spark, rows):
+    """Clones, and an accumulator of how many rows of them were made."""
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    return clones(spark, rows).mapInArrow(run, "sample string, key int, weight double"), made
+
+
+def shuffled(spark):
+    """The numbers of the shuffles whose files Spark keeps."""
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+    return {b.split("_")[1] for b in map(str, spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(blocks)) if b.startswith("shuffle_")}
+
+
+def test_a_chain_with_a_fixed_size_runs_its_input_once_and_keeps_no_shuffles(spark):
+    rows = [(s, k, 30.0 + k) for s in "ab" for k in range(10)]
+    df, made = counted(spark, rows)
+    before = shuffled(spark)
+    got = preproc.chain(df, ["key"], ["count-weight-fixed-100", "top-weight-3"])
+    assert made.value == len(rows)
+    assert not shuffled(spark) - before
+    assert {r.sample for r in got.collect()} == {"a", "b"} and made.value == len(rows)
+
+
 def test_automatic_size_ignores_tiny_samples(spark):
     for sizes, want in (([501, 200000, 300000, 400000], 200000.0), ([100, 100, 100], 100.0)):
         df = spark.createDataFrame([(float(s),) for s in sizes], "size double")
