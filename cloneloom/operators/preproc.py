@@ -51,12 +51,17 @@ def _drawn(w: DataFrame, totals: DataFrame, keys: Sequence[str], sample: str, si
     return u.select(sample, *keys, h.alias("_h")).groupBy(sample, *keys, "_h").agg(F.count(F.lit(1)).alias("_c")).where("_h is not null")
 
 
-def downsample(df: DataFrame, keys: Sequence[str], n: int | Column, sample: str = "sample", weight: str = "weight", sigmas: float = SIGMAS) -> DataFrame:
-    """Sets of at most n units in each sample, n being a number or a column made from `sample` (null: the whole set). Weights
-    are summed by key and rounded. `sigmas` sets the margin that is tried first, and doesn't change the result."""
+def downsample(df: DataFrame, keys: Sequence[str], n: int | str | Column, sample: str = "sample", weight: str = "weight", sigmas: float = SIGMAS) -> DataFrame:
+    """Sets of at most n units in each sample, n being a number, a rule of automatic_size or a column made from `sample` (null:
+    the whole set). Weights are summed by key and rounded; df is run once. `sigmas` sets the margin that is tried first, and
+    doesn't change the result."""
     with swept(df.sparkSession):
-        w = settle(df.groupBy(sample, *keys).agg(F.round(F.sum(weight)).cast("long").alias("_w")).where("_w > 0"))
-        size = F.greatest((F.lit(n) if isinstance(n, int) else n).cast("long"), F.lit(0).cast("long"))
+        every = settle(df.groupBy(sample, *keys).agg(F.round(F.sum(weight)).cast("long").alias("_w")))
+        if isinstance(n, str):
+            n = automatic_size(sizes(every, sample, "_w"), n).first()["n"]
+        w = every.where("_w > 0")
+        size = (n if isinstance(n, Column) else F.lit(n)).cast("long")
+        size = F.when(size < 0, 0).otherwise(size)
         totals = settle(w.groupBy(sample).agg(F.sum("_w").alias("_size")).withColumn("_n", F.coalesce(F.least(size, "_size"), F.col("_size"))))
         found = [_with(w, totals.where("_n = _size"), sample).select(sample, *keys, F.col("_w").alias("_c"))]
         left = totals.where("_n < _size")
@@ -120,13 +125,7 @@ def parse(name: str):
     if kind == "cumtop":
         return lambda df, keys: cumulative_top(df, keys, float(arg), weight=weight)
     if kind == "count":
-        def run(df, keys):
-            if arg.startswith("fixed-"):  # needs no sizes, so df isn't run for them
-                return downsample(df, keys, int(float(arg.removeprefix("fixed-"))), weight=weight)
-            n = automatic_size(sizes(df, weight=weight), arg).first()
-            return downsample(df, keys, int(n["n"]), weight=weight)
-
-        return run
+        return lambda df, keys: downsample(df, keys, arg, weight=weight)
     raise ValueError(f"unknown preprocessor {name!r}")
 
 

@@ -117,6 +117,24 @@ def test_a_chain_with_a_fixed_size_runs_its_input_once_and_keeps_no_shuffles(spa
     assert {r.sample for r in got.collect()} == {"a", "b"} and made.value == len(rows)
 
 
+@pytest.mark.parametrize("how", ["auto", "min"])
+def test_an_automatic_size_runs_the_input_once_and_keeps_no_shuffles(spark, how):
+    rows = [(s, k, w) for s, w in (("a", 30.4), ("b", 40.0), (None, 50.0)) for k in range(10)]
+    df, made = counted(spark, rows)
+    before = shuffled(spark)
+    got = preproc.parse(f"count-weight-{how}")(df, ["key"])
+    assert made.value == len(rows)
+    assert not shuffled(spark) - before
+    assert {(r.sample, r.key): r.weight for r in got.collect()} == drawn_by_hand(rows, 300) and made.value == len(rows)
+
+
+def test_downsampling_an_empty_table_or_to_no_size(spark):
+    df = clones(spark, [("a", 1, 5.0), ("b", 2, 7.0)])
+    assert preproc.parse("count-weight-auto")(df.limit(0), ["key"]).count() == 0
+    got = preproc.downsample(df, ["key"], F.when(F.col("sample") == "a", 3)).collect()
+    assert {(r.sample, r.weight) for r in got} == {("a", 3.0), ("b", 7.0)}
+
+
 def test_automatic_size_ignores_tiny_samples(spark):
     for sizes, want in (([501, 200000, 300000, 400000], 200000.0), ([100, 100, 100], 100.0)):
         df = spark.createDataFrame([(float(s),) for s in sizes], "size double")
