@@ -5,10 +5,11 @@ one that is compatible with the last token of what it leaves over. So a node of
 and every word below a node reuses it. Two tokens are compatible if encoding their joined symbols by plain merging gives
 the two back; those results are kept by pair. The last symbol of a word carries the end-of-word mark and has no node.
 
-Distinct words are visited in order, which is depth-first. The trie is a table of its nodes, the prefixes of up to DEPTH
-symbols, with their states; deeper states are held for the word at hand only, so time and memory grow with a word's length,
-not with its square. The trie, the words already encoded and the pairs are bounded by numbers of entries (MAX_NODES,
-CACHE_WORDS, MAX_PAIRS) and emptied when a task ends, for workers serve other stages afterwards.
+Distinct words are visited in order, which is depth-first, and only the path to the node at hand is held: its states, and
+for each the place in a second trie, that of all tokens, whose suffix links (Aho and Corasick, 1975) list the tokens that a
+prefix can end with, longest first. So time and memory grow with a word's length, not with its square. The words already
+encoded, the pairs and the steps in the second trie are bounded by numbers of entries (CACHE_WORDS, MAX_PAIRS, MAX_STEPS) and
+emptied when a task ends, for workers serve other stages afterwards.
 
 The tokenizer file (JSON of the public `tokenizers` library) is read by the driver from the path given and sent to the
 executors by broadcast: its size is that of the vocabulary, whatever the input. Tasks keep no state that matters: a lost
@@ -33,10 +34,9 @@ from pyspark.sql import types as T
 
 from .common import ship, tidy
 
-#: Words and chunks kept, if they have at most so many characters; nodes of the trie; compatible pairs.
+#: Words and chunks kept, if they have at most so many characters; compatible pairs; steps in the trie of tokens.
 CACHE_WORDS, CACHED_LENGTH = 120_000, 10
-MAX_NODES, DEPTH = 150_000, 24
-MAX_PAIRS = 120_000
+MAX_PAIRS, MAX_STEPS = 120_000, 150_000
 #: Texts are encoded so many, or about so many bytes of them, at a time.
 BATCH_ROWS, BATCH_BYTES = 256, 1_000_000
 #: What the normalizer's \s+ matches; Python's own notion of space has U+001C to U+001F besides.
@@ -83,14 +83,13 @@ class TrieBPE:
             left, right = self.parts.get(ids[a]), self.parts.get(ids[b])
             if left and right:
                 self.parts.setdefault(ids[a + b], left + right)
-        #: the same tokens, if merging makes them, as strings of one character a symbol, and the longest by its last two characters
         self.char = {ids[x]: x for x in self.symbols} | {ids[x + self.suffix]: chr(0xE000 + i) for i, x in enumerate(self.symbols)}
-        self.ends = dict(zip(self.symbols, map(chr, range(0xE000, 0xE100)), strict=True))
-        self.known = {"".join([self.char[x] for x in p]): t for t, p in self.parts.items() if len(p) == 1 or self.merge(p) == [t]}
+        #: each token's id as text, by id
+        self.name = [""] * (1 + max(map(int, self.token)))
+        for i in self.token:
+            self.name[int(i)] = i
         self.sizes = {t: len(p) for t, p in self.parts.items()}
-        self.longest: dict[str, int] = {}
-        for w in self.known:
-            self.longest[w[-2:]] = max(self.longest.get(w[-2:], 0), len(w))
+        self.plant()
         self.forget()
 
     def forget(self) -> None:
@@ -100,8 +99,41 @@ class TrieBPE:
         #: ids of white-space chunks and of words, joined by spaces
         self.cache: dict[str, str] = {}
         self.encoded: dict[str, str] = {}
-        #: the trie: each node's last token
-        self.state: dict[str, int] = {}
+        #: from a place in the trie of tokens and a symbol to the next place
+        self.steps: dict[int, int] = {}
+
+    def plant(self) -> None:
+        """The trie of the tokens that merging makes, by numbered nodes. Symbols are numbered by their bytes, those that end a
+        word 256 higher."""
+        number = {x: i for i, x in enumerate(self.symbols)} | {chr(0xE000 + i): 256 + i for i in range(256)}
+        #: a node's child by node and symbol in one number; a node's length; its token, if it is one
+        self.child: dict[int, int] = {}
+        self.depth, self.end = [0], [-1]
+        for t, p in self.parts.items():
+            if len(p) > 1 and self.merge(p) != [t]:
+                continue
+            at = 0
+            for x in p:
+                key = at << 9 | number[self.char[x]]
+                if key not in self.child:
+                    self.child[key] = len(self.depth)
+                    self.depth.append(self.depth[at] + 1)
+                    self.end.append(-1)
+                at = self.child[key]
+            self.end[at] = t
+        #: the longest other node that a node ends with; the longest token that it ends with, itself included, and without
+        self.suffix_of, self.first, self.shorter = ([0] * len(self.depth) for _ in range(3))
+        for key, at in sorted(self.child.items(), key=lambda x: self.depth[x[1]]):
+            if key >> 9:
+                self.suffix_of[at] = self.step(self.suffix_of[key >> 9], key & 511)
+            self.shorter[at] = self.first[self.suffix_of[at]]
+            self.first[at] = at if self.end[at] >= 0 else self.shorter[at]
+
+    def step(self, at: int, symbol: int) -> int:
+        """The longest node that the text of a node and one more symbol end with."""
+        while (to := self.child.get(at << 9 | symbol)) is None and at:
+            at = self.suffix_of[at]
+        return to or 0
 
     def merge(self, symbols) -> list[int]:
         """The plain definition: merge the leftmost pair of lowest rank until none is left."""
@@ -138,49 +170,53 @@ class TrieBPE:
             else:  # the left half's border merges come first at equal rank
                 limit, b = rb + 1, halves[b][0]
 
-    def encode_words(self, words) -> dict[str, list[int]]:
-        """Token ids of each distinct word, the trie's nodes visited depth-first: a word starts from its deepest known node."""
-        if len(self.state) >= MAX_NODES:
-            self.state = {}
-        state, known, longest, pairs, sizes = self.state, self.known, self.longest, self.pairs, self.sizes
-        symbols, ends = self.symbols, self.ends
-        out: dict[str, list[int]] = {}
+    def encode_words(self, words) -> dict[str, str]:
+        """Token ids of each distinct word, joined by spaces, the trie's nodes visited depth-first: a word starts from the
+        deepest node that it shares with the word before it."""
+        steps, pairs, sizes, name = self.steps, self.pairs, self.sizes, self.name
+        first, shorter, depth, end = self.first, self.shorter, self.depth, self.end
+        out: dict[str, str] = {}
+        state, place, last = [-1], [0], b""  # of each prefix of the path, the empty one included
         for w in sorted(words):
-            path = w if w.isalpha() and w.isascii() else "".join([symbols[b] for b in w.encode("utf-8", "surrogatepass")])
-            size = len(path)
-            base = min(size - 1, DEPTH)
-            while base and path[:base] not in state:
-                base -= 1
-            path = path[:-1] + ends[path[-1]]
-            own = []  # the states beyond the node at base
-            for at in range(base + 1, size + 1):
-                n = longest.get(path[at - 2 : at] if at > 1 else path[:1], 1)
-                if n > at:
-                    n = at
-                while n > 1:
-                    t = known.get(path[at - n : at])
-                    if t is not None:
-                        if n == at:
-                            break
-                        p = at - n
-                        before = own[p - base - 1] if p > base else state[path[:p]]
-                        fits = pairs.get(before << 32 | t)
-                        if fits is None:
-                            fits = self.compatible(before, t)
-                        if fits:
-                            break
-                    n -= 1
-                else:
-                    t = known[path[at - 1]]
-                own.append(t)
-                if at <= DEPTH and at < size and len(state) < MAX_NODES:
-                    state[path[:at]] = t
-            tokens, at = [], size
+            path = w.encode("utf-8", "surrogatepass")
+            shared = min(len(state), len(path)) - 1  # the last symbol of a word has no node
+            at = 0
+            while at < shared and path[at] == last[at]:
+                at += 1
+            del state[at + 1 :], place[at + 1 :]
+            here, last = place[at], path
+            for symbol in (*path[at:-1], path[-1] + 256):
+                at += 1
+                key = here << 9 | symbol
+                here = steps.get(key)
+                if here is None:
+                    if len(steps) >= MAX_STEPS:
+                        steps.clear()
+                    here = steps[key] = self.step(key >> 9, symbol)
+                node = first[here]
+                while True:
+                    t, n = end[node], depth[node]
+                    if n == at or n == 1:
+                        break
+                    before = state[at - n]
+                    fits = pairs.get(before << 32 | t)
+                    if fits is None:
+                        fits = self.compatible(before, t)
+                    if fits:
+                        break
+                    node = shorter[node]
+                state.append(t)
+                place.append(here)
+            t = state.pop()
+            place.pop()
+            tokens = [name[t]]
+            at -= sizes[t]
             while at:
-                tokens.append(own[at - base - 1] if at > base else state[path[:at]])
-                at -= sizes[tokens[-1]]
+                t = state[at]
+                tokens.append(name[t])
+                at -= sizes[t]
             tokens.reverse()
-            out[w] = tokens
+            out[w] = " ".join(tokens)
         return out
 
     def normal(self, text: str) -> str:
@@ -211,10 +247,7 @@ class TrieBPE:
             self.encoded.clear()
         cache, encoded = self.cache, self.encoded
         ids = self.encode_words({w for ws in fresh.values() for w in ws if w not in encoded})
-        for w, got in ids.items():
-            ids[w] = known = " ".join(map(str, got))
-            if len(w) <= CACHED_LENGTH:
-                encoded[w] = known
+        encoded.update((w, got) for w, got in ids.items() if len(w) <= CACHED_LENGTH)
         for c, ws in fresh.items():
             if len(ws) == 1:
                 cache[c] = encoded.get(ws[0]) or ids[ws[0]]
