@@ -7,9 +7,15 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: How tables are written to a local file system: without checksum files (Parquet has its own) and _SUCCESS. Where Hadoop
+#: has no native library, it starts a process for each file and folder to set its permissions, and a process being started
+#: still shares all memory of the JVM that starts it.
+LOCAL = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true", "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
+
 
 def _delete(spark: SparkSession, path: str) -> None:
     """Remove a folder through Hadoop's file system, wherever it is; nothing happens if it is gone."""
@@ -55,11 +61,24 @@ def swept(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def _local(spark: SparkSession, path: str) -> str | None:
+    """The path without its scheme, if it is in a local file system."""
+    sc = spark.sparkContext
+    uri = sc._jvm.org.apache.hadoop.fs.Path(path).toUri()
+    scheme = uri.getScheme() or sc._jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(sc._jsc.hadoopConfiguration()).getScheme()
+    return uri.getPath() if scheme == "file" else None
+
+
 def cut(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """df written as Parquet to the session's folder and read back, which ends its lineage."""
     path = f"{folder(df.sparkSession)}/{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.option("compression", compression).parquet(path)
+    write = df.write.option("compression", compression)
+    local = _local(df.sparkSession, path)
+    if local:
+        Path(local, "_temporary/0/_temporary").mkdir(parents=True)  # the committer's folders, made without processes
+        write = write.options(**LOCAL).mode("append")
+    write.parquet(path)
     out = df.sparkSession.read.schema(schema).parquet(path)
     out._scratch_path = path
     return out
