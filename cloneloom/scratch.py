@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -11,6 +13,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The driver's garbage is collected when its heap has taken more than this share of what it may, and not more often than
+#: every so many seconds.
+HEAP_SHARE, EVERY_S = 0.5, 10
 #: How tables are written to a local file system: without checksum files (Parquet has its own) and _SUCCESS. Where Hadoop
 #: has no native library, it starts a process for each file and folder to set its permissions, and a process being started
 #: still shares all memory of the JVM that starts it.
@@ -69,6 +74,20 @@ def _local(spark: SparkSession, path: str) -> str | None:
     return uri.getPath() if scheme == "file" else None
 
 
+def relieve(spark: SparkSession) -> None:
+    """Let the driver's JVM drop garbage, with the shuffles and broadcasts that nothing refers to, and shrink its heap, which
+    would otherwise grow to its limit over many short jobs of which little remains."""
+    sc = spark.sparkContext
+    now = time.monotonic()
+    if now - getattr(sc, "_cloneloom_relieved", -EVERY_S) < EVERY_S:
+        return
+    heap = sc._jvm.java.lang.Runtime.getRuntime()
+    if heap.totalMemory() > HEAP_SHARE * heap.maxMemory():
+        gc.collect()  # Python's references keep Java's objects
+        sc._jvm.java.lang.System.gc()
+        sc._cloneloom_relieved = time.monotonic()
+
+
 def cut(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """df written as Parquet to the session's folder and read back, which ends its lineage."""
     path = f"{folder(df.sparkSession)}/{uuid.uuid4().hex}"
@@ -79,6 +98,7 @@ def cut(df: DataFrame, compression: str = "snappy") -> DataFrame:
         Path(local, "_temporary/0/_temporary").mkdir(parents=True)  # the committer's folders, made without processes
         write = write.options(**LOCAL).mode("append")
     write.parquet(path)
+    relieve(df.sparkSession)
     out = df.sparkSession.read.schema(schema).parquet(path)
     out._scratch_path = path
     return out

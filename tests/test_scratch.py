@@ -43,3 +43,11 @@ def test_folders_of_the_committer_are_made_without_processes(spark, monkeypatch)
 def test_a_failed_write_raises(spark):
     with pytest.raises(Exception, match="nothing to read"):
         scratch.cut(spark.range(4).selectExpr("raise_error('nothing to read') as x"))
+
+
+def test_the_drivers_garbage_goes_when_its_heap_is_large(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "HEAP_SHARE", 0, raising=False)
+    monkeypatch.setattr(scratch, "EVERY_S", 0, raising=False)
+    held = spark.sparkContext._jvm.java.lang.ref.WeakReference("a string that only the reference knows")
+    scratch.cut(spark.range(1))
+    assert held.get() is None
